@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from . import language_id, quality
 from .minhash_dedup import near_duplicates
 from .packing import pack
 
@@ -11,12 +12,22 @@ def op4_minhash_dedup(spark, sf_dir):
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    return quality.scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark, sf_dir):
+    return language_id.predictions(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_quality": op5_quality,
+    "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
 }
 ORACLE: dict[str, str] = {}
