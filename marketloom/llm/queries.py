@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from .common import table
-from . import language_id, quality
+from . import ann, language_id, pii, quality, token_rollup
 from .minhash_dedup import near_duplicates
 from .packing import pack
 
 
+def op1_token_rollup(spark, sf_dir):
+    return token_rollup.history(spark, sf_dir)
+
+
+def op2_pii(spark, sf_dir):
+    return pii.find(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark, sf_dir):
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -24,10 +32,17 @@ def op9_packing(spark, sf_dir):
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark, sf_dir):
+    return ann.neighbours(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_token_rollup": op1_token_rollup,
+    "op2_pii": op2_pii,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_quality": op5_quality,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
+    "op10_ann": op10_ann,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_token_rollup": token_rollup.ORACLE}
