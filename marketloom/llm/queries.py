@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import ann, language_id, pii, quality, token_rollup
+from . import ann, embedding_dedup, language_id, pii, quality, token_rollup, url_filter
 from .minhash_dedup import near_duplicates
 from .packing import pack
 
@@ -16,6 +16,10 @@ def op2_pii(spark, sf_dir):
     return pii.find(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_dedup(spark, sf_dir):
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op5_quality(spark, sf_dir):
     return quality.scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_url_filter(spark, sf_dir):
+    return url_filter.judge(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark, sf_dir):
     return language_id.predictions(spark, table(spark, sf_dir, "documents"))
 
@@ -39,8 +47,10 @@ def op10_ann(spark, sf_dir):
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
     "op2_pii": op2_pii,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_quality": op5_quality,
+    "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_ann": op10_ann,
