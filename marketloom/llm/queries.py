@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import ann, embedding_dedup, language_id, pii, quality, token_rollup, url_filter
+from . import ann, byte_bpe, embedding_dedup, language_id, pii, quality, token_rollup, url_filter
 from .minhash_dedup import near_duplicates
 from .packing import pack
 
@@ -28,6 +28,10 @@ def op5_quality(spark, sf_dir):
     return quality.scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_byte_bpe(spark, sf_dir):
+    return byte_bpe.encode_decode(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.judge(spark, table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_quality": op5_quality,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
