@@ -72,7 +72,7 @@ def text_from_html(html: Column) -> Column:
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(sign))
     t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"\A\s+|\s+\z", "")
 
 
 def unglue(s: Column) -> Column:
