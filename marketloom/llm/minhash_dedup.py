@@ -9,8 +9,10 @@ at exactly that similarity, and fall under the estimate's floor with probability
 
 No step emits all pairs of a group.  Documents with equal sets are one class from the start.  Within
 a bucket only the edges of a maximum spanning forest over estimated similarity are confirmed first;
-links found there merge classes into components, and what remains to be tested are pairs of
-different components, which exist only in buckets that are not yet of one component.
+links found there merge classes into components.  In buckets that are not yet of one component, every
+outsider is then tried against its best estimate.  What remains are pairs of different components in
+buckets that are still mixed: their full sets meet inside one task, block by block, and only links
+leave it.
 
 Nulls, blanks: an empty set, linked with nothing (n_shingles 0).  Rows that repeat a doc_id count
 as one document: each returns its own n_shingles and the component of the doc_id.  A null doc_id is
@@ -40,7 +42,7 @@ THRESHOLD_PERCENT = 75
 #: Standard deviations of the b-bit estimate allowed under the threshold before a pair is dropped.
 SIGMAS = 4.3
 #: Members of a bucket that are compared as one block; larger buckets become blocks by blocks.
-BLOCK = 2000
+BLOCK = 1000
 #: Shingles whose minima are computed at once.
 _CHUNK = 1 << 16
 
@@ -189,45 +191,78 @@ def _forest(floor: float):
     return run
 
 
-def _across(floor: float):
-    """Pairs of different components in a cell: outsiders by targets, in the first shared band only."""
+def _cells(batches: Iterator[pa.RecordBatch], floor: float):
+    """Of each cell: targets, and per outsider its row and the targets that may link with it.
+
+    May link: of another component, not met in an earlier band, with an estimate above the floor.
+    """
+    for g in _groups(batches, ["band", "key", "ob", "tb"]):
+        side = g["outsider"].to_numpy()
+        o, t = g[side], g[~side]
+        if not len(o) or not len(t):
+            continue
+        band = int(g["band"].iloc[0])
+        osig, obands = _unpack(o)
+        tsig, tbands = _unpack(t)
+        ocomp, tcomp = o["comp"].to_numpy(), t["comp"].to_numpy()
+        for i in range(len(o)):
+            ok = tcomp != ocomp[i]
+            if band:
+                ok &= ~(tbands[:, :band] == obands[i, :band]).any(axis=1)
+            at = np.flatnonzero(ok)
+            if len(at):
+                guess = similarity(osig[i], tsig[at])
+                near = guess >= floor
+                if near.any():
+                    yield o, t, i, at[near], guess[near]
+
+
+def _edges(us: list, vs: list) -> pa.RecordBatch:
+    u, v = np.array(us, np.int64), np.array(vs, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+
+def _best(floor: float):
+    """The best estimated partner of every outsider in a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["band", "key", "ob", "tb"]):
-            side = g["outsider"].to_numpy()
-            o, t = g[side], g[~side]
-            if not len(o) or not len(t):
-                continue
-            band = int(g["band"].iloc[0])
-            osig, obands = _unpack(o)
-            tsig, tbands = _unpack(t)
-            oid, tid = o["rep"].to_numpy(), t["rep"].to_numpy()
-            ocomp, tcomp = o["comp"].to_numpy(), t["comp"].to_numpy()
-            tout = t["also"].to_numpy()
-            for i in range(len(o)):
-                ok = (tcomp != ocomp[i]) & (~tout | (tid > oid[i]))
-                if band:
-                    ok &= ~(tbands[:, :band] == obands[i, :band]).any(axis=1)
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                at = at[similarity(osig[i], tsig[at]) >= floor]
-                if len(at):
-                    v = tid[at]
-                    u = np.full(len(at), oid[i], np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"]
-                    )
+        for o, t, i, at, guess in _cells(batches, floor):
+            yield _edges([o["rep"].iloc[i]], [t["rep"].iloc[at[np.argmax(guess)]]])
 
     return run
 
 
+def _exact(floor: float):
+    """Links between components, on full sets; one for each component that an outsider links with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for o, t, i, at, guess in _cells(batches, floor):
+            one = np.frombuffer(o["items"].iloc[i], np.uint64)
+            comp, items, rep = t["comp"].to_numpy(), t["items"].to_numpy(), t["rep"].to_numpy()
+            met: set = set()
+            us, vs = [], []
+            for k in at[np.argsort(-guess, kind="stable")]:
+                if comp[k] not in met and links(one, np.frombuffer(items[k], np.uint64)):
+                    met.add(comp[k])
+                    us.append(o["rep"].iloc[i])
+                    vs.append(rep[k])
+            if us:
+                yield _edges(us, vs)
+
+    return run
+
+
+def links(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < THRESHOLD_PERCENT * max(len(x), len(y)):
+        return False
+    both = overlap(x, y)
+    return 100 * both >= THRESHOLD_PERCENT * (len(x) + len(y) - both)
+
+
 def _confirm(columns: dict) -> dict:
     out = {"u": [], "v": []}
     for u, v, a, b in zip(*(columns[c].to_pylist() for c in ("u", "v", "a", "b")), strict=True):
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        both = overlap(x, y)
-        if 100 * both >= THRESHOLD_PERCENT * (len(x) + len(y) - both):
+        if links(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)):
             out["u"].append(u)
             out["v"].append(v)
     return out
@@ -235,24 +270,63 @@ def _confirm(columns: dict) -> dict:
 
 def _sets(columns: dict) -> dict:
     sets = [shingle_set(t) for t in columns["text"].to_pylist()]
-    return {"id": columns["doc_id"], "items": [s.tobytes() for s in sets]}
+    return {"rep": columns["doc_id"], "items": [s.tobytes() for s in sets]}
 
 
-def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs whose full sets link.  Only documents that stand in a pair are shingled again."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = scratch.write(
-        f"{name}-sets",
-        map_arrow(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), _sets, "id long, items binary"),
-    )
+def _confirmed(scratch: Scratch, sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs whose full sets link."""
     both = (
-        pairs.join(sets.select(F.col("id").alias("v"), F.col("items").alias("b")), "v")
-        .join(sets.select(F.col("id").alias("u"), F.col("items").alias("a")), "u")
+        pairs.join(sets.select(F.col("rep").alias("v"), F.col("items").alias("b")), "v")
+        .join(sets.select(F.col("rep").alias("u"), F.col("items").alias("a")), "u")
         .select("u", "v", "a", "b")
     )
-    links = scratch.write(f"{name}-links", map_arrow(both, _confirm, "u long, v long"))
-    scratch.drop(f"{name}-sets")
-    return links
+    return scratch.write(name, map_arrow(both, _confirm, "u long, v long"))
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Cells of the buckets that hold more than one component: outsiders by targets, in blocks.
+
+    Outsiders are the members outside a bucket's largest component; targets are all its members.
+    """
+    sizes = labelled.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (
+        sizes.groupBy("band", "key")
+        .agg(
+            F.max_by("comp", F.struct("n", "comp")).alias("main"),
+            F.count(F.lit(1)).alias("comps"),
+            F.sum("n").alias("all"),
+            F.max("n").alias("top"),
+        )
+        .where("comps > 1")
+        .select(
+            "band",
+            "key",
+            "main",
+            F.ceil(F.col("all") / BLOCK).cast("int").alias("tbs"),
+            F.ceil((F.col("all") - F.col("top")) / BLOCK).cast("int").alias("obs"),
+        )
+    )
+    members = labelled.join(mixed, ["band", "key"])
+    spot = F.xxhash64("rep")
+    ob, tb = F.pmod(spot, F.col("obs").cast("long")).cast("int"), F.pmod(spot, F.col("tbs").cast("long")).cast("int")
+    carried = ("band", "key", "rep", "comp")
+    targets = members.select(
+        *carried, F.lit(False).alias("outsider"), F.explode(F.sequence(F.lit(0), F.col("obs") - 1)).alias("ob"), tb.alias("tb")
+    )
+    outsiders = members.where(F.col("comp") != F.col("main")).select(
+        *carried, F.lit(True).alias("outsider"), ob.alias("ob"), F.explode(F.sequence(F.lit(0), F.col("tbs") - 1)).alias("tb")
+    )
+    return targets.unionByName(outsiders)
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition("band", "key", "ob", "tb").sortWithinPartitions("band", "key", "ob", "tb")
+
+
+def _labelled(entries: DataFrame, components: DataFrame) -> DataFrame:
+    return entries.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "band", "key", "rep", F.coalesce("label", "rep").alias("comp")
+    )
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -273,68 +347,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     entries = scratch.write("entries", entries.join(shared, ["band", "key"]).select("band", "key", "size", "rep"))
-    full = scratch.write(
-        "members",
-        entries.join(classes.select("rep", "sig", "bands"), "rep").select(
-            "band", "key", "size", "rep", "sig", "bands"
-        ),
+    signatures = classes.select("rep", "sig", "bands")
+    shared_ids = entries.select(F.col("rep").alias("doc_id")).distinct()
+    sets = scratch.write(
+        "sets",
+        map_arrow(docs.join(shared_ids.hint("shuffle_hash"), "doc_id", "left_semi"), _sets, "rep long, items binary"),
     )
     floor = floor_estimate()
-    blocked = full.withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK).cast("long")).cast("int")
-    )
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK).cast("long")).cast("int")
     forest = (
-        blocked.select("band", "key", "block", "rep", "sig")
+        entries.withColumn("block", block)
+        .join(signatures.select("rep", "sig"), "rep")
         .repartition("band", "key", "block")
         .sortWithinPartitions("band", "key", "block")
         .mapInArrow(_forest(floor), "u long, v long")
         .distinct()
     )
-    pairs = scratch.write("forest", forest)
-    links = _confirmed(scratch, docs, pairs, "first")
-    found = scratch.write("merged", connected(scratch, links, "cc-first"))
-
-    labelled = full.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "comp", F.coalesce("label", "rep")
-    )
-    labelled = scratch.write("labelled", labelled.drop("label"))
-    sizes = labelled.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
-        sizes.groupBy("band", "key")
-        .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max("n").alias("top"))
-        .where("comps > 1")
-        .select(
-            "band",
-            "key",
-            "main",
-            F.ceil(F.col("all") / BLOCK).cast("int").alias("tbs"),
-            F.ceil((F.col("all") - F.col("top")) / BLOCK).cast("int").alias("obs"),
-        )
-    )
-    open_ = labelled.join(mixed, ["band", "key"]).withColumn("also", F.col("comp") != F.col("main"))
-    spot = F.xxhash64("rep")
-    targets = open_.select(
-        "band", "key", "rep", "comp", "sig", "bands", "also",
-        F.lit(False).alias("outsider"),
-        F.explode(F.sequence(F.lit(0), F.col("obs") - 1)).alias("ob"),
-        F.pmod(spot, F.col("tbs").cast("long")).cast("int").alias("tb"),
-    )
-    outsiders = open_.where("also").select(
-        "band", "key", "rep", "comp", "sig", "bands", "also",
-        F.lit(True).alias("outsider"),
-        F.pmod(spot, F.col("obs").cast("long")).cast("int").alias("ob"),
-        F.explode(F.sequence(F.lit(0), F.col("tbs") - 1)).alias("tb"),
-    )
-    rest = (
-        targets.unionByName(outsiders)
-        .repartition("band", "key", "ob", "tb")
-        .sortWithinPartitions("band", "key", "ob", "tb")
-        .mapInArrow(_across(floor), "u long, v long")
-    )
-    rest = scratch.write("across", rest.join(pairs, ["u", "v"], "left_anti"))
-    more = _confirmed(scratch, docs, rest, "second")
-    final = scratch.write("components", connected(scratch, links.union(more), "cc-final"))
-    scratch.drop("members", "labelled", "entries", "forest", "across", "merged")
+    first = _confirmed(scratch, sets, scratch.write("forest", forest), "first")
+    found = connected(scratch, first, "cc-first")
+
+    cells = _mixed(scratch.write("labelled", _labelled(entries, found))).join(signatures, "rep")
+    tried = _dealt(cells).mapInArrow(_best(floor), "u long, v long").distinct()
+    second = _confirmed(scratch, sets, scratch.write("best", tried), "second")
+    found = connected(scratch, first.union(second), "cc-second")
+
+    cells = _mixed(scratch.write("relabelled", _labelled(entries, found))).join(signatures, "rep").join(sets, "rep")
+    third = scratch.write("third", _dealt(cells).mapInArrow(_exact(floor), "u long, v long"))
+    final = scratch.write("components", connected(scratch, first.union(second).union(third), "cc-final"))
+    scratch.drop("entries", "sets", "forest", "best", "labelled", "relabelled", "first", "second", "third")
 
     by_class = classes.select("fp", "rep").join(
         final.withColumnRenamed("node", "rep"), "rep", "left"
