@@ -390,7 +390,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate component; its columns stay as they are."""
+    """docs with one document of each near-duplicate component; its columns stay as they are.
+
+    Rows that repeat a doc_id are one document and leave one row; rows without a doc_id all stay.
+    """
     kept = near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     left = docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi")
-    return left.dropDuplicates(["doc_id"])
+    return left.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -111,20 +111,26 @@ def count_tokens(text, version: str):
     return F.regexp_count(text, F.lit(VERSIONS[version].replace(r"\v", r"\x0B"))).cast("long")
 
 
-def _changes(docs: DataFrame, op: str, before=None, after=None) -> DataFrame:
-    """One change for each document and version; before and after are text columns."""
-    rows = F.array(
+def counted(docs: DataFrame) -> DataFrame:
+    """Per document and version: tokens of the whole text, and of its distinct lines (null text: 0)."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.array_join(F.array_distinct(F.split(text, "\n")), "\n")
+    each = F.array(
         *(
-            F.struct(
-                F.lit(v).alias("tokenizer"),
-                (count_tokens(before, v) if before is not None else F.lit(None).cast("long")).alias("n_before"),
-                (count_tokens(after, v) if after is not None else F.lit(None).cast("long")).alias("n_after"),
-            )
+            F.struct(F.lit(v).alias("tokenizer"), count_tokens(text, v).alias("whole"), count_tokens(lines, v).alias("once"))
             for v in VERSIONS
         )
     )
-    return docs.select(F.lit(op).alias("op"), "source", "lang", F.explode(rows).alias("r")).select(
-        "op", "source", "lang", "r.tokenizer", "r.n_before", "r.n_after"
+    return docs.select("doc_id", "source", "lang", F.explode(each).alias("r")).select(
+        "doc_id", "source", "lang", "r.tokenizer", "r.whole", "r.once"
+    )
+
+
+def _changes(rows: DataFrame, op: str, before=None, after=None) -> DataFrame:
+    nothing = F.lit(None).cast("long")
+    return rows.select(
+        F.lit(op).alias("op"), *KEY, (nothing if before is None else before).alias("n_before"),
+        (nothing if after is None else after).alias("n_after"),
     )
 
 
@@ -132,25 +138,25 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three commits over documents, one of them sent twice, and a compaction between them.
 
     All documents are inserted; those labelled quality 0 are revised to the count of their distinct
-    lines; those labelled toxic are then deleted.
+    lines; those labelled toxic are then deleted.  Texts are counted once, where they are read; batches
+    join and move counts only.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    scratch = Scratch(spark, "rollup")
+    counts = scratch.write("counted", counted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic")
     )
-    text = F.coalesce("text", F.lit(""))
-    lines = F.array_join(F.array_distinct(F.split(text, "\n")), "\n")
+    marked = counts.join(labels, "doc_id")
     low = F.col("quality").eqNullSafe(0)
-    # the small side is the labels'; text stays where it was read unless the table is large
-    marked = docs.join(labels, "doc_id")
-    rollup = Rollup(spark, Scratch(spark, "rollup").path("tokens"))
-    rollup.commit("0001", _changes(docs, "insert", after=text))
-    revised = _changes(marked.where(low), "revise", before=text, after=lines)
+    rollup = Rollup(spark, scratch.path("tokens"))
+    rollup.commit("0001", _changes(counts, "insert", after=F.col("whole")))
+    revised = _changes(marked.where(low), "revise", F.col("whole"), F.col("once"))
     rollup.commit("0002", revised)
     rollup.compact()
     rollup.commit("0002", revised)
     gone = marked.where("toxic = 1")
-    rollup.commit("0003", _changes(gone, "delete", before=F.when(low, lines).otherwise(text)))
+    rollup.commit("0003", _changes(gone, "delete", F.when(low, F.col("once")).otherwise(F.col("whole"))))
+    scratch.drop("counted")
     return rollup.totals()
 
 
