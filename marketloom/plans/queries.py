@@ -477,3 +477,95 @@ def headline_stats(spark, d):
 def compare_best_flag(spark, d):
     cheapest = offers(spark, d).groupBy("type", "part").agg(F.min("price").alias("price"))
     return cheapest.select("type", "part", (F.col("price") == F.min("price").over(Window.partitionBy("type"))).alias("best"))
+
+
+@query(f"""WITH {_EVIDENCE}, s AS (SELECT part, cls, least(100, CAST({_POINTS} AS BIGINT)) AS demand, reviews,
+ CASE cls WHEN 'absent' THEN 1.0 WHEN 'brand' THEN 0.9 WHEN 'partial' THEN 0.8 WHEN 'nkcn' THEN 0.2 ELSE 0.5 END AS weight FROM cl),
+b AS (SELECT p_brand AS brand, max(CAST(floor(demand * CAST(weight AS DOUBLE) + 0.5) AS BIGINT)) AS score, CAST(sum(reviews) AS BIGINT) AS reviews, count(*) AS items,
+ array_to_string(list_sort(list_distinct(list(cls))), ',') AS classes FROM s JOIN part ON part = p_partkey GROUP BY p_brand)
+SELECT * FROM b WHERE classes <> 'nkcn' ORDER BY score DESC, reviews DESC, brand LIMIT 12""")
+def brand_opportunities(spark, d):
+    c = F.col
+    o = M.opportunity(c("cls"), c("reviews"), c("size"), c("size") / 10.0, c("markets"), c("retailers"), c("sold"), c("listings"), c("sold"), c("size") % 7, c("home_low"), c("price"))
+    scored = evidence(spark, d).select("part", "cls", "reviews", o["score"].alias("score"))
+    brands = table(spark, d, "part").select(c("p_partkey").alias("part"), c("p_brand").alias("brand"))
+    rolled = scored.join(brands, "part").groupBy("brand").agg(
+        F.max("score").alias("score"), F.sum("reviews").alias("reviews"), F.count(F.lit(1)).alias("items"),
+        F.array_join(F.array_sort(F.collect_set("cls")), ",").alias("classes"),
+    )
+    return rolled.where("classes <> 'nkcn'").orderBy(F.desc("score"), F.desc("reviews"), "brand").limit(12)
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand, ltrim(lpad(CAST(p_partkey % 500 AS VARCHAR), 6, '0'), '0') AS code FROM part),
+d AS (SELECT code, max(p_partkey) AS donor FROM p WHERE p_partkey >= 500 GROUP BY code)
+SELECT p_partkey, donor, 2 AS score FROM p JOIN d USING (code) WHERE p_partkey < 500""")
+def barcode_donor(spark, d):
+    code = F.ltrim(F.lpad((F.col("p_partkey") % 500).cast("string"), 6, "0"), F.lit("0"))
+    parts = table(spark, d, "part").select("p_partkey", code.alias("code"))
+    donors = R.newest(parts.where("p_partkey >= 500").select("code", F.col("p_partkey").alias("donor")), ["code"], ["donor"])
+    return parts.where("p_partkey < 500").join(donors, "code").select("p_partkey", "donor", F.lit(2).alias("score"))
+
+
+@query(f"""WITH u AS (SELECT page_id, url, {_KEPT} AS kept, page_id % 3 AS engine FROM pages), n AS (SELECT page_id, engine, {_NORM} AS norm FROM u)
+SELECT norm, min(page_id) AS first_page, array_to_string(list_sort(list_distinct(list(CAST(engine AS VARCHAR)))), ',') AS engines FROM n GROUP BY norm""")
+def first_seen_engines(spark, d):
+    rows = table(spark, d, "pages").select("page_id", U.norm_url(F.col("url")).alias("norm"), (F.col("page_id") % 3).cast("string").alias("engine"))
+    return rows.groupBy("norm").agg(
+        F.min("page_id").alias("first_page"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines")
+    )
+
+
+@query(f"""WITH {_SNAP}, h AS (SELECT key, event_id, t, row_number() OVER (PARTITION BY key, event_type ORDER BY t DESC, event_id DESC) AS again FROM snap)
+SELECT key, event_id, place FROM (SELECT key, event_id, row_number() OVER (PARTITION BY key ORDER BY t DESC, event_id DESC) AS place FROM h WHERE again = 1) WHERE place <= 100""")
+def search_history(spark, d):
+    latest = R.newest(snapshots(spark, d).select("key", "event_type", "t", "event_id"), ["key", "event_type"], ["t", "event_id"])
+    return R.top_per_group(latest, ["key"], [F.desc("t"), F.desc("event_id")], 100, "place").select("key", "event_id", "place")
+
+
+@query("""SELECT o_orderpriority AS task, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS hidden, count(*) FILTER (WHERE o_totalprice < 50000) AS off_form,
+round(100.0 * count(*) FILTER (WHERE o_orderstatus = 'O') / count(*), 2) AS coverage FROM orders GROUP BY o_orderpriority""")
+def task_counters(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("hidden"), F.count_if(F.col("o_totalprice") < 50000).alias("off_form"),
+        F.round(100.0 * F.count_if(F.col("o_orderstatus") == "O") / F.count(F.lit(1)), 2).alias("coverage"),
+    )
+
+
+@query(f"""WITH {_SNAP} SELECT key, round(arg_max(value, (t, event_id)) / nullif(arg_min(value, (t, event_id)), 0) * 100 - 100, 4) AS change_percent,
+round((max(value) - avg(value)) / nullif(max(value), 0) * 100, 1) AS margin_percent FROM snap GROUP BY key""")
+def watch_metrics(spark, d):
+    order = F.struct("t", "event_id")
+    first, last = F.min_by("value", order), F.max_by("value", order)
+    return snapshots(spark, d).groupBy("key").agg(
+        F.round(last / F.nullif(first, F.lit(0.0)) * 100 - 100, 4).alias("change_percent"),
+        F.round((F.max("value") - F.avg("value")) / F.nullif(F.max("value"), F.lit(0.0)) * 100, 1).alias("margin_percent"),
+    )
+
+
+@query(f"""WITH {_SNAP}, b AS (SELECT key, arg_max(event_type, (t, event_id)) FILTER (WHERE t < 1705276800000) AS before, arg_max(event_type, (t, event_id)) AS after FROM snap GROUP BY key)
+SELECT key, before, after FROM b WHERE before IS NOT NULL AND before <> after""")
+def recheck_changes(spark, d):
+    order = F.struct("t", "event_id")
+    early = F.when(F.col("t") < 1705276800000, order)
+    both = snapshots(spark, d).groupBy("key").agg(F.max_by("event_type", early).alias("before"), F.max_by("event_type", order).alias("after"))
+    return both.where("before is not null and before <> after")
+
+
+@query("""WITH n AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier)
+SELECT s_nationkey, CAST(floor(pos / 4) AS BIGINT) AS part, string_agg(CAST(s_suppkey AS VARCHAR), ' OR ' ORDER BY s_suppkey) AS sites FROM n GROUP BY ALL""")
+def site_chunks(spark, d):
+    pos = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
+    chunked = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.floor(pos / 4).alias("part"))
+    return chunked.groupBy("s_nationkey", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), " OR ").alias("sites")
+    )
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN 'A' WHEN s_suppkey % 3 = 0 THEN 'B' END AS chain,
+coalesce(CASE WHEN s_acctbal > 5000 THEN 'run' END, CASE WHEN s_acctbal > 0 THEN 'directory' END, 'listing') AS importer FROM supplier""")
+def importer_lookup(spark, d):
+    return table(spark, d, "supplier").select(
+        "s_suppkey",
+        F.when(F.col("s_nationkey") % 5 == 0, "A").when(F.col("s_suppkey") % 3 == 0, "B").alias("chain"),
+        F.coalesce(F.when(F.col("s_acctbal") > 5000, "run"), F.when(F.col("s_acctbal") > 0, "directory"), F.lit("listing")).alias("importer"),
+    )
