@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,11 +55,8 @@ def result_filter(df: DataFrame, *, relevant: bool = False, food: bool = False,
     return df
 
 
-#: Orders of the result list; ord, the order of arrival, breaks ties.
-ORDERS: Mapping[str, Sequence[Column]] = {}
-
-
 def ordered(df: DataFrame, order: str, tie: str = "ord") -> DataFrame:
+    """The result list's orders; the order of arrival breaks ties."""
     c = F.col
     score = (
         F.coalesce(c("relevance"), F.lit(0.0))
