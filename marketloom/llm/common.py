@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +53,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least as many input splits as the session shuffles into, so that Python work spreads.
-
-    Spark already splits large files; a table of few small files would run as one task.
-    """
-    return df
-
-
 def map_arrow(df: DataFrame, rows, schema: str) -> DataFrame:
     """``mapInArrow`` with ``rows(dict of column -> list) -> dict of column -> list`` per batch."""
     from pyspark.sql.types import StructType
@@ -97,6 +91,29 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, min(step, n - at))
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows that arrive sorted by keys; holds one group and one batch at a time."""
+    rest = None
+    for batch in batches:
+        df = batch.to_pandas()
+        if rest is not None:
+            df = pd.concat([rest, df], ignore_index=True)
+        if not len(df):
+            continue
+        new = np.zeros(len(df), bool)
+        for k in keys:
+            v = df[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        cuts = np.flatnonzero(new)
+        start = 0
+        for c in cuts:
+            yield df.iloc[start:c]
+            start = c
+        rest = df.iloc[start:]
+    if rest is not None and len(rest):
+        yield rest
+
+
 def connected(scratch: Scratch, edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """Component of every vertex of an undirected edge list, as ``(node, label)``.
 

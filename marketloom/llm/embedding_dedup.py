@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected, map_arrow
-from .minhash_dedup import _groups
+from .common import Scratch, connected, map_arrow, sorted_groups
 
 COSINE = 0.98
 MISS = 1e-6
@@ -110,7 +109,7 @@ def reach(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per cell of a bucket: cid, links found there, rep, and the smallest rep its links reach."""
     out: dict[str, list] = {k: [] for k in ("cid", "links", "rep", "to")}
-    for g in _groups(batches, ["label", "dim", "table", "key", "one", "two"]):
+    for g in sorted_groups(batches, ["label", "dim", "table", "key", "one", "two"]):
         n = len(g)
         if n < 2:
             continue

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected, map_arrow
+from .common import Scratch, connected, map_arrow, sorted_groups
 from .shingles import overlap, shingle_set
 
 BANDS = 32
@@ -125,29 +125,6 @@ def _signatures(columns: dict) -> dict:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of rows that arrive sorted by keys; holds one group and one batch at a time."""
-    rest = None
-    for batch in batches:
-        df = batch.to_pandas()
-        if rest is not None:
-            df = pd.concat([rest, df], ignore_index=True)
-        if not len(df):
-            continue
-        new = np.zeros(len(df), bool)
-        for k in keys:
-            v = df[k].to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        cuts = np.flatnonzero(new)
-        start = 0
-        for c in cuts:
-            yield df.iloc[start:c]
-            start = c
-        rest = df.iloc[start:]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _unpack(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     sig = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(len(group), BITS, -1)
     bands = np.stack(group["bands"].to_numpy())
@@ -158,7 +135,7 @@ def _forest(floor: float):
     """Edges of a maximum spanning forest per block, by estimate (Prim), above the floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["band", "key", "block"]):
+        for g in sorted_groups(batches, ["band", "key", "block"]):
             n = len(g)
             if n < 2:
                 continue
@@ -196,7 +173,7 @@ def _cells(batches: Iterator[pa.RecordBatch], floor: float):
 
     May link: of another component, not met in an earlier band, with an estimate above the floor.
     """
-    for g in _groups(batches, ["band", "key", "ob", "tb"]):
+    for g in sorted_groups(batches, ["band", "key", "ob", "tb"]):
         side = g["outsider"].to_numpy()
         o, t = g[side], g[~side]
         if not len(o) or not len(t):
