@@ -35,7 +35,7 @@ def query(sql: str | None = None):
     return add
 
 
-HOME = "NATION_7"
+HOME = "NATION_8"
 
 
 def offers(spark: SparkSession, d: str) -> DataFrame:
@@ -368,9 +368,9 @@ def breadth_self_join(spark, d):
 
 
 _EVIDENCE = """ev AS (SELECT p_partkey AS part, count(l_orderkey) AS reviews, count(DISTINCT s_nationkey) AS markets, count(DISTINCT l_suppkey) AS retailers,
- coalesce(sum(l_quantity) FILTER (WHERE s_nationkey = 7), 0) AS sold, count(*) FILTER (WHERE s_nationkey = 7) AS listings,
- count(DISTINCT l_suppkey) FILTER (WHERE s_nationkey IN (7, 8)) AS chains, min(l_extendedprice / l_quantity) FILTER (WHERE s_nationkey = 7) AS home_low,
- min(l_extendedprice / l_quantity) FILTER (WHERE s_nationkey <> 7) AS price, any_value(p_size) AS size
+ coalesce(sum(l_quantity) FILTER (WHERE s_nationkey = 8), 0) AS sold, count(*) FILTER (WHERE s_nationkey = 8) AS listings,
+ count(DISTINCT l_suppkey) FILTER (WHERE s_nationkey IN (8, 12)) AS chains, min(l_extendedprice / l_quantity) FILTER (WHERE s_nationkey = 8) AS home_low,
+ min(l_extendedprice / l_quantity) FILTER (WHERE s_nationkey <> 8) AS price, any_value(p_size) AS size
  FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_partkey),
 cl AS (SELECT *, CASE WHEN listings > 1 THEN CASE WHEN chains >= 2 AND size % 2 = 0 THEN 'nkcn' ELSE 'partial' END WHEN listings > 0 THEN 'partial'
  WHEN size % 5 > 0 THEN 'brand' ELSE 'absent' END AS cls FROM ev)"""
@@ -380,12 +380,12 @@ def evidence(spark, d):
     line = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice")
     shops = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     rows = table(spark, d, "part").select("p_partkey", "p_size").join(line.join(shops, "l_suppkey", "left"), "p_partkey", "left")
-    home, unit = F.col("s_nationkey") == 7, F.col("l_extendedprice") / F.col("l_quantity")
+    home, unit = F.col("s_nationkey") == 8, F.col("l_extendedprice") / F.col("l_quantity")
     seen = rows.groupBy(F.col("p_partkey").alias("part")).agg(
         F.count("l_orderkey").alias("reviews"), F.count_distinct("s_nationkey").alias("markets"), F.count_distinct("l_suppkey").alias("retailers"),
         F.coalesce(F.sum(F.when(home, F.col("l_quantity"))), F.lit(0.0)).alias("sold"), F.count_if(home).alias("listings"),
-        F.count_distinct(F.when(F.col("s_nationkey").isin(7, 8), F.col("l_suppkey"))).alias("chains"),
-        F.min(F.when(home, unit)).alias("home_low"), F.min(F.when(F.col("s_nationkey") != 7, unit)).alias("price"), F.first("p_size").alias("size"),
+        F.count_distinct(F.when(F.col("s_nationkey").isin(8, 12), F.col("l_suppkey"))).alias("chains"),
+        F.min(F.when(home, unit)).alias("home_low"), F.min(F.when(F.col("s_nationkey") != 8, unit)).alias("price"), F.first("p_size").alias("size"),
     )
     strong = F.when(F.col("listings") > 1, F.col("listings")).otherwise(0)
     cls = M.import_class(strong, F.col("listings"), F.col("chains"), F.col("size") % 2 == 0, F.col("size") % 5)
