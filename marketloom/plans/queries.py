@@ -67,20 +67,16 @@ _OFFERS = """offers AS (
 @query(f"""WITH {_OFFERS}, m AS (SELECT brand, country, median(price) AS m FROM offers GROUP BY ALL),
 b AS (SELECT brand, max(m) FILTER (WHERE country = '{HOME}') AS home, arg_min(country, (m, country)) FILTER (WHERE country <> '{HOME}') AS c,
   min(m) FILTER (WHERE country <> '{HOME}') AS low FROM m GROUP BY brand)
-SELECT brand, round(home, 4) AS home_median, c AS cheapest_country, round(low, 4) AS cheapest_median,
-  round((home - low) / low * 100, 2) AS gap_percent FROM b WHERE home IS NOT NULL AND low IS NOT NULL""")
+SELECT brand, home AS home_median, c AS cheapest_country, low AS cheapest_median,
+  (home - low) / low * 100 AS gap_percent FROM b WHERE home IS NOT NULL AND low IS NOT NULL""")
 def brand_cheapest_abroad(spark, d):
-    out = I.cheapest_abroad(offers(spark, d), HOME)
-    return out.select(
-        "brand", F.round("home_median", 4).alias("home_median"), "cheapest_country",
-        F.round("cheapest_median", 4).alias("cheapest_median"), F.round("gap_percent", 2).alias("gap_percent"),
-    )
+    return I.cheapest_abroad(offers(spark, d), HOME)
 
 
-@query("""SELECT p_brand, count(*) AS n, count(p_retailprice) AS n_priced, round(median(p_retailprice), 4) AS median,
+@query("""SELECT p_brand, count(*) AS n, count(p_retailprice) AS n_priced, median(p_retailprice) AS median,
 min(p_retailprice) AS low, max(p_retailprice) AS high FROM part WHERE p_brand IS NOT NULL AND p_brand <> '' GROUP BY p_brand""")
 def group_stats_median(spark, d):
-    return I.group_stats(table(spark, d, "part"), "p_brand", "p_retailprice").withColumn("median", F.round("median", 4))
+    return I.group_stats(table(spark, d, "part"), "p_brand", "p_retailprice")
 
 
 @query("""SELECT count(o_totalprice) AS n, round(quantile_cont(o_totalprice, 0.25), 2) AS p25, round(quantile_cont(o_totalprice, 0.33), 2) AS p33,
@@ -466,10 +462,10 @@ def sparkline_scale(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_points"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query("""SELECT CAST(count(*) AS BIGINT) AS products, count(p_retailprice) AS priced, count(DISTINCT p_brand) AS brands, round(median(p_retailprice), 4) AS median_price FROM part""")
+@query("""SELECT CAST(count(*) AS BIGINT) AS products, count(p_retailprice) AS priced, count(DISTINCT p_brand) AS brands, median(p_retailprice) AS median_price FROM part""")
 def headline_stats(spark, d):
     return table(spark, d, "part").agg(
-        F.count(F.lit(1)).alias("products"), F.count("p_retailprice").alias("priced"), F.count_distinct("p_brand").alias("brands"), F.round(F.median("p_retailprice"), 4).alias("median_price")
+        F.count(F.lit(1)).alias("products"), F.count("p_retailprice").alias("priced"), F.count_distinct("p_brand").alias("brands"), F.median("p_retailprice").alias("median_price")
     )
 
 
