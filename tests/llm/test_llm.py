@@ -461,3 +461,27 @@ def test_registered():
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_empty_tables(spark, docs, labels):
+    none = docs.limit(0)
+    assert byte_bpe.encode_decode(spark, none).count() == 0
+    assert pii.find(spark, none).count() == pii.mask(spark, none).count() == 0
+    assert minhash_dedup.keep_one(spark, none).count() == language_id.keep_certain(spark, none).count() == 0
+    vectors_ = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert embedding_dedup.near_duplicates(spark, vectors_).count() == ann.neighbours(spark, vectors_).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filter.judge(spark, pages).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Columns named like the operators' own come through, or do no harm."""
+    names = ["doc_id", "text", "lang", "id", "n", "key", "rep", "comp", "band", "sig", "items", "uid", "part", "score", "kept", "ids", "word", "codes"]
+    rows = [(i, "one two three four five six seven" + (" eight" if i == 2 else ""), "en", *[str(i)] * (len(names) - 3)) for i in (1, 1, 2, 3)]
+    df = spark.createDataFrame(rows, names)
+    kept = minhash_dedup.keep_one(spark, df)
+    assert kept.columns == names and [r["doc_id"] for r in kept.collect()] == [1]
+    assert packing.pack(spark, df).count() == 4
+    assert {r["component_id"] for r in minhash_dedup.near_duplicates(spark, df).collect()} == {1}
+    assert byte_bpe.encode_decode(spark, df).count() == pii.find(spark, df).count() == 4
+    assert pii.mask(spark, df).columns == names and language_id.keep_certain(spark, df).columns == names
