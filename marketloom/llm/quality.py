@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow
+from .memo import claim
 
 FEATURES = 1 << 18
 #: Bound of the labelled sample that the model is fitted on.
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 12
@@ -70,6 +71,7 @@ def features(text: str | None) -> np.ndarray:
     words = text.split() if text else []
     if not words:
         return np.empty(0, np.int64)
+    claim(_words)
     both = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     word = both >> np.uint64(32)
     sign = (both & np.uint64(0xFFFFFFFF)) << np.uint64(1)

@@ -10,9 +10,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .memo import claim
+
 WIDTH = 5
 #: Words remembered per Python worker; the memo is emptied when it is full, so memory stays bounded.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 _MULTIPLIERS = np.array(
     [xxhash.xxh3_64_intdigest(b"shingle position %d" % i) | 1 for i in range(WIDTH)], np.uint64
 )
@@ -46,6 +48,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     n = len(words)
     if n == 0:
         return np.empty(0, np.uint64)
+    claim(_words)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
     if n < WIDTH:
         total = np.uint64(n)

@@ -16,8 +16,10 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 
+from .memo import claim
+
 #: Parts remembered per Python worker (about 200 bytes each); no more are added when it is full.
-MEMO_PARTS = 1_000_000
+MEMO_PARTS = 600_000
 #: Parts longer than this are encoded without being remembered.
 MEMO_CHARS = 64
 
@@ -49,6 +51,7 @@ class WordMemo(dict):
     def packed(self, text: str) -> bytes:
         if not text:
             return b""
+        claim(self)
         parts = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
         head = self[parts[0]] if parts[0] else b""
         return head + b"".join(map(self.__getitem__, [" " + p for p in parts[1:]]))
