@@ -41,6 +41,26 @@ def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: float, *,
     return met.select("l_id", "r_id", similarity.alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
 
+def code_donors(items: DataFrame, code: str, sections: list[str], *, key: str = "id") -> DataFrame:
+    """(key, section, donor, score 2): what an item lacks and the last donor of its barcode has.
+
+    ``sections`` are boolean columns.  An item that has any of them is a donor, one that lacks any of them
+    receives, so an item may be both.  The greatest key of a code's donors speaks for the code; where that
+    is the item itself, or has not what the item lacks, the code gives nothing.  Null codes meet no donor.
+    """
+    has = [F.coalesce(F.col(s), F.lit(False)) for s in sections]
+    items = items.where(F.length(code) > 0).select(key, F.ltrim(F.col(code), F.lit("0")).alias("_code"), F.array(*has).alias("_has"))
+    last = items.where(F.exists("_has", lambda x: x)).groupBy("_code").agg(F.max(F.struct(F.col(key).alias("donor"), "_has")).alias("_last"))
+    met = items.join(last, "_code").where(F.col(key) != F.col("_last.donor"))
+    lacks = F.filter(
+        F.sequence(F.lit(0), F.lit(len(sections) - 1)), lambda i: ~F.get("_has", i) & F.get(F.col("_last._has"), i)
+    )
+    names = F.array(*map(F.lit, sections))
+    return met.select(key, F.explode(lacks).alias("_at"), F.col("_last.donor").alias("donor")).select(
+        key, F.get(names, F.col("_at")).alias("section"), "donor", F.lit(2).alias("score")
+    )
+
+
 def match_score(same_code: Column, brand_in: Column, concept: Column, words: Column, translated: Column,
                 brand_only: Column, size_a: Column, size_b: Column) -> Column:
     """1 for equal barcodes, 0 without the brand, else the best of three likenesses, moved by the size."""

@@ -502,6 +502,20 @@ def barcode_donor(spark, d):
     return parts.where("p_partkey < 500").join(donors, "code").select("p_partkey", "donor", F.lit(2).alias("score"))
 
 
+@query("""WITH p AS (SELECT p_partkey, ltrim(lpad(substr(p_brand, 7) || lpad(CAST(p_size AS VARCHAR), 2, '0'), 13, '0'), '0') AS code,
+ p_type IN ('ECONOMY', 'PROMO', 'SMALL') AS ingredients, p_type IN ('PROMO', 'LARGE') AS storage FROM part),
+d AS (SELECT code, max(p_partkey) AS donor, arg_max(ingredients, p_partkey) AS gives_ingredients, arg_max(storage, p_partkey) AS gives_storage FROM p WHERE ingredients OR storage GROUP BY code)
+SELECT p_partkey, 'ingredients' AS section, donor, 2 AS score FROM p JOIN d USING (code) WHERE p_partkey <> donor AND NOT ingredients AND gives_ingredients
+UNION ALL SELECT p_partkey, 'storage', donor, 2 FROM p JOIN d USING (code) WHERE p_partkey <> donor AND NOT storage AND gives_storage""")
+def barcode_donor_sections(spark, d):
+    code = F.lpad(F.concat(F.substring("p_brand", 7, 9), F.lpad(F.col("p_size").cast("string"), 2, "0")), 13, "0")
+    parts = table(spark, d, "part").select(
+        "p_partkey", code.alias("code"), F.col("p_type").isin("ECONOMY", "PROMO", "SMALL").alias("ingredients"),
+        F.col("p_type").isin("PROMO", "LARGE").alias("storage"),
+    )
+    return M.code_donors(parts, "code", ["ingredients", "storage"], key="p_partkey")
+
+
 @query(f"""WITH u AS (SELECT page_id, url, {_KEPT} AS kept, page_id % 3 AS engine FROM pages), n AS (SELECT page_id, engine, {_NORM} AS norm FROM u)
 SELECT norm, min(page_id) AS first_page, array_to_string(list_sort(list_distinct(list(CAST(engine AS VARCHAR)))), ',') AS engines FROM n GROUP BY norm""")
 def first_seen_engines(spark, d):
