@@ -4,6 +4,10 @@ Every language has a zstandard raw-content dictionary, the joined texts of a bou
 documents.  A text is compressed once with each; the dictionary that makes it smallest names its
 language.  A prediction whose lead over the second is a narrow share of its size is rejected.
 
+A text of a few words often saves no byte with any dictionary.  Where a short text's lead is narrow, it
+is measured again behind contexts: the dictionary is cut into ``SLICES``, the first bytes of each slice
+are context, the rest its dictionary, and the bytes that the text adds to each context are summed.
+
 Learned from text and non-null lang of documents whose crc32(doc_id) mod 4 is not 2: per language
 the ``SAMPLE_DOCUMENTS`` with the smallest hash of doc_id, up to ``DICTIONARY_BYTES``.
 
@@ -26,6 +30,10 @@ DICTIONARY_BYTES = 160_000
 LEVEL = 6
 #: A lead below this share of the smallest size is too narrow.
 MARGIN = 0.002
+#: Texts of at most this many bytes are measured behind contexts where their lead is narrow.
+SHORT_BYTES = 100
+SLICES = 16
+CONTEXT_BYTES = 1_000
 #: Steepness of the score over relative sizes.
 STEEPNESS = 60.0
 UNKNOWN = "und"
@@ -70,20 +78,39 @@ def folded(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
 
+def _coder(content: bytes) -> zstandard.ZstdCompressor:
+    plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    if len(content) < 8:  # no dictionary for zstandard
+        return zstandard.ZstdCompressor(**plain)
+    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=data, **plain)
+
+
+def _contexts(content: bytes) -> list[tuple[zstandard.ZstdCompressor, bytes, int]]:
+    """Per slice of a dictionary: its coder, its context and the context's size."""
+    out = []
+    for i in range(SLICES):
+        part = content[i * len(content) // SLICES : (i + 1) * len(content) // SLICES]
+        coder, context = _coder(part[CONTEXT_BYTES:]), part[:CONTEXT_BYTES] + b" "
+        out.append((coder, context, len(coder.compress(context))))
+    return out
+
+
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.languages = sorted(dictionaries)
-        self.coders = []
-        for language in self.languages:
-            content = zstandard.ZstdCompressionDict(
-                dictionaries[language], dict_type=zstandard.DICT_TYPE_RAWCONTENT
-            )
-            content.precompute_compress(level=LEVEL)
-            self.coders.append(
-                zstandard.ZstdCompressor(
-                    level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False
-                )
-            )
+        self.coders = [_coder(dictionaries[language]) for language in self.languages]
+        self._dictionaries = dictionaries
+        self._contexts: list[list[tuple]] = []
+
+    def added(self, raw: bytes) -> np.ndarray:
+        """Bytes that a short text adds to the contexts of each language, summed."""
+        if not self._contexts:
+            self._contexts = [_contexts(self._dictionaries[language]) for language in self.languages]
+        return np.array(
+            [sum(len(c.compress(context + raw)) - alone for c, context, alone in row) for row in self._contexts], float
+        )
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and relative lead."""
@@ -91,6 +118,12 @@ class Classifier:
             return UNKNOWN, 0.0, 0.0
         raw = folded(text)
         sizes = np.array([len(c.compress(raw)) for c in self.coders], float)
+        found = self._judged(sizes)
+        if found[2] < MARGIN and len(raw) <= SHORT_BYTES:
+            found = self._judged(self.added(raw))
+        return found
+
+    def _judged(self, sizes: np.ndarray) -> tuple[str, float, float]:
         best = int(sizes.argmin())
         over = (sizes - sizes[best]) / max(sizes[best], 1.0)
         score = 1 / float(np.exp(-STEEPNESS * over).sum())
