@@ -36,11 +36,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Candidate patterns beyond the base.
 EXTRA = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,4}")),
-    ("secret", re.compile(r"\b(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,64}\b")),
-    ("secret", re.compile(r"\b(?:password|passwd|secret|token|api_key)[=:][^\s\"']{6,64}", re.I)),
-    ("secret", re.compile(r"\b[0-9a-f]{32,64}\b")),
+    ("secret", re.compile(r"\b(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}+")),
+    # a quoted value ends at its quote, any other at white space or a quote
+    ("secret", re.compile(r"""\b(?:password|passwd|secret|token|api_key)["']?\s*+[=:]\s*+(?:"[^"\r\n]{6,}+"|'[^'\r\n]{6,}+'|["']?[^\s"']{6,}+)""", re.I)),
+    ("secret", re.compile(r"\b[0-9A-Fa-f]{32,}+\b")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b")),
+    # 15 to 34 signs in groups of four, the last of one to four
+    ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})\b")),
 )
 # Gazetteers.
 PREFIXES = ("akia", "asia", "ghp_", "sk-", "xox", "password", "passwd", "secret", "token", "api_key")
@@ -141,6 +143,16 @@ def _iban(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _iban_end(s: str) -> int:
+    """Length of the longest valid account code that ends before a space of s or with s; else all of s."""
+    end = len(s)
+    while end > 0:
+        if _iban(s[:end]):
+            return end
+        end = s.rfind(" ", 0, end)
+    return len(s)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, rule) of candidates that overlap neither a base span nor an earlier candidate."""
     low = text.lower()
@@ -157,6 +169,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
+            if EXTRA[rule][0] == "iban":  # capital words may follow a code
+                b = a + _iban_end(m[0])
             if all(b <= x or a >= y for x, y in taken):
                 out.append((a, b, rule))
                 taken.append((a, b))
