@@ -209,6 +209,14 @@ def conditional_union_anti(spark, d):
     return R.widen(wide.where("id < 5"), wide, "digest", 8)
 
 
+@query("""WITH many AS (SELECT doc_id AS id, md5(text) AS digest, contains(lower(text), 'license') AS narrow FROM documents), few AS (SELECT id, digest FROM many WHERE narrow)
+SELECT * FROM few UNION ALL SELECT id, digest FROM many WHERE NOT EXISTS (SELECT 1 FROM few WHERE few.digest = many.digest) AND (SELECT count(*) FROM few) < 8""")
+def conditional_union_anti_documents(spark, d):
+    docs = table(spark, d, "documents")
+    wide = docs.select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("digest"), F.contains(F.lower("text"), F.lit("license")).alias("narrow"))
+    return R.widen(wide.where("narrow").drop("narrow"), wide.drop("narrow"), "digest", 8)
+
+
 @query(f"""SELECT page_id, {_HOST} AS host FROM pages WHERE {_HOST} IN ('example.net', 'example.org') OR {_HOST} LIKE '%.example.net' OR {_HOST} LIKE '%.example.org'""")
 def domain_semi_join(spark, d):
     sites = spark.createDataFrame([("example.net",), ("example.org",)], "site string")
