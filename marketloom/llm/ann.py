@@ -11,7 +11,8 @@ All rows are indexed.  Queries meet every block; per block they are streamed in
 id and the block's tree stays in memory, so a task holds one block and one batch of queries.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part; so do vectors of
-another length than the query's.  Rows that repeat a vec_id are candidates each.  Ties go to the
+another length than the query's.  Rows that repeat a vec_id are candidates each, and as queries
+each is answered, with all other rows of its id left out.  Ties go to the
 smaller vec_id.  A null vec_id takes no part.
 """
 
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 DIMENSIONS = 8
 CONFIDENCE = 0.97
 BLOCK_ROWS = 16_384
@@ -130,7 +133,7 @@ def _answer(k: int):
         block, rows, trees = None, [], {}
         for batch in batches:
             df = batch.to_pandas()
-            out_q, out_v, out_d = [], [], []
+            out_u, out_q, out_v, out_d = [], [], [], []
             for (b, query), g in df.groupby(["block", "query"], sort=False):
                 if b != block:
                     block, rows, trees = b, [], None
@@ -140,18 +143,19 @@ def _answer(k: int):
                 if trees is None:
                     trees = _trees(rows)
                     rows = []
-                for q_id, x in zip(g["vec_id"], g["embedding"], strict=True):
+                for uid, q_id, x in zip(g["uid"], g["vec_id"], g["embedding"], strict=True):
                     q = np.asarray(x, float)
                     if len(q) in trees:
                         tree, vectors, ids = trees[len(q)]
                         d, i = search(tree, vectors, ids, q, q_id, k, stop)
+                        out_u += [uid] * len(d)
                         out_q += [q_id] * len(d)
                         out_v.append(i)
                         out_d.append(d)
             if out_q:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_d))],
-                    names=["query_id", "vec_id", "score"],
+                    [pa.array(out_u, pa.int64()), pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_d))],
+                    names=["uid", "query_id", "vec_id", "score"],
                 )
 
     return run
@@ -172,18 +176,19 @@ def _trees(rows: list[pd.DataFrame]) -> dict:
 
 def neighbours(spark: SparkSession, vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score for every vec_id that ``every`` divides."""
-    rows = usable(vectors)
+    # written, so that a row keeps its number if a lost executor has it computed again
+    rows = Scratch(spark, "ann").write("rows", usable(vectors).withColumn("uid", F.monotonically_increasing_id()))
     blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
-    base = rows.select("vec_id", "embedding", F.lit(False).alias("query"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long")).alias("block"))
+    base = rows.select("uid", "vec_id", "embedding", F.lit(False).alias("query"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks).cast("long")).alias("block"))
     queries = rows.where(F.col("vec_id") % every == 0).select(
-        "vec_id", "embedding", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+        "uid", "vec_id", "embedding", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
     )
     found = (
         base.unionByName(queries)
         .repartition(blocks, "block")
         .sortWithinPartitions("block", "query", "vec_id")
-        .mapInArrow(_answer(k), "query_id long, vec_id long, score double")
+        .mapInArrow(_answer(k), "uid long, query_id long, vec_id long, score double")
     )
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("uid").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,16 +20,15 @@ class Scratch:
     """Parquet tables in the folder that ``spark.checkpoint.dir`` names (all executors share it).
 
     Writing an intermediate result there cuts its lineage: a lost executor costs only the tasks
-    it ran, and later jobs reread files instead of recomputing.  Where the setting is absent (unit
-    tests) a temporary folder is used and set.
+    it ran, and later jobs reread files instead of recomputing.  Without the setting there is no folder
+    that all machines share, so it is an error; tests set one.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = tempfile.mkdtemp(prefix="marketloom-")
-            spark.conf.set("spark.checkpoint.dir", root)
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

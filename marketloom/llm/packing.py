@@ -78,9 +78,9 @@ def curve_keys(vectors: np.ndarray) -> np.ndarray:
     return hilbert_keys(np.minimum((at * 2**CURVE_BITS).astype(np.int64), 2**CURVE_BITS - 1))
 
 
-def _encoder(vocabulary: str):
+def _encoder(vocabulary: tuple[str, str]):
     def rows(columns: dict) -> dict:
-        memo = rank_vocabulary(vocabulary)
+        memo = rank_vocabulary(*vocabulary)
         squeeze = zstandard.ZstdCompressor(level=1)
         out = {"key": [], "n": [], "ids": []}
         vectors = []
@@ -112,9 +112,9 @@ def _places(batches):
             at = int(ends[-1])
 
 
-def _cutter(vocabulary: str):
+def _cutter(vocabulary: tuple[str, str]):
     def rows(columns: dict) -> dict:
-        dtype = rank_vocabulary(vocabulary).dtype
+        dtype = rank_vocabulary(*vocabulary).dtype
         expand = zstandard.ZstdDecompressor()
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
         out = {k: [] for k in names}
@@ -138,9 +138,12 @@ def _cutter(vocabulary: str):
     return rows
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Pieces of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+def pack(spark: SparkSession, docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """Pieces of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``vocabulary`` names the rank file and the tokenizer's JSON file, whose added tokens keep their own ids.
+    """
+    vocabulary = vocabulary or (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
     scratch = Scratch(spark, "packing")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = scratch.write(

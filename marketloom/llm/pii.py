@@ -10,12 +10,14 @@ the candidate's own features, again on grouped counts.  The classifier decides w
 become spans.
 
 Spans are in code points, end exclusive.  Nulls: a null text is empty and has no span; a null doc_id
-stays null; repeated rows are judged each on their own.  An empty table gives no rows, and a corpus
+stays null; repeated rows are judged each on their own.  Long texts cost their length times the logarithm
+of their spans.  Of candidates that overlap, the one of the earlier rule is taken.  An empty table gives no rows, and a corpus
 without candidates leaves the classifier closed.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -35,7 +37,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Candidate patterns beyond the base.
 EXTRA = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,4}")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)+")),
     ("secret", re.compile(r"\b(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}+")),
     # a quoted value ends at its quote, any other at white space or a quote
     ("secret", re.compile(r"""\b(?:password|passwd|secret|token|api_key)["']?\s*+[=:]\s*+(?:"[^"\r\n]{6,}+"|'[^'\r\n]{6,}+'|["']?[^\s"']{6,}+)""", re.I)),
@@ -156,7 +158,7 @@ def _iban_end(s: str) -> int:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, rule) of candidates that overlap neither a base span nor an earlier candidate."""
     low = text.lower()
-    taken = [(a, b) for a, _, b in base]
+    taken = _Taken((a, b) for a, _, b in base)
     out = []
     for rule, (_, pattern) in enumerate(EXTRA):
         if rule == 0 and "at]" not in low and "at)" not in low:
@@ -167,16 +169,39 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             continue
         if rule >= 3 and not any(map(text.__contains__, "0123456789")):
             continue
+        fresh = []  # matches of one pattern do not overlap each other
         for m in pattern.finditer(text):
             a, b = m.span()
             if EXTRA[rule][0] == "iban":  # capital words may follow a code
                 b = a + _iban_end(m[0])
-            if all(b <= x or a >= y for x, y in taken):
+            if taken.free(a, b):
                 out.append((a, b, rule))
-                taken.append((a, b))
+                fresh.append((a, b))
+        taken.add(fresh)
     return sorted(out)
 
 
+class _Taken:
+    """Spans that are taken, as disjoint runs in order, so that a test is one bisection."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        self.add(spans)
+
+    def add(self, spans) -> None:
+        runs: list[list[int]] = []
+        for a, b in sorted([*zip(self.starts, self.ends, strict=True), *spans]):
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        self.starts, self.ends = [a for a, _ in runs], [b for _, b in runs]
+
+    def free(self, a: int, b: int) -> bool:
+        at = bisect.bisect_left(self.starts, b)  # runs from here on start at b or later
+        return at == 0 or self.ends[at - 1] <= a
+
+
 class Model:
     """Reliabilities by labeler, and the span classifier's weight by (feature, value)."""
 

@@ -7,7 +7,8 @@ sum of all deltas, so an update costs what its batch holds, never the corpus.
 
 Commits are idempotent: a batch lives in a folder of its own, a commit of an id that has one is a
 no-op, and a commit that died half-way leaves no success marker and is written anew.  ``compact``
-folds committed batches into one base under the id of the last batch it holds.
+folds committed batches into one base and writes beside it which they were, so a batch that comes late,
+whatever its id, is counted.
 
 Keys may be null (they are a group of their own).  A null count is 0, an op outside the three is an
 error in ``signed`` (null sign, row dropped and counted by nobody), repeated rows add up.  Keys whose
@@ -44,7 +45,7 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """A rollup in a folder: base/<id> and batch/<id>, each a committed Parquet folder."""
+    """A rollup in a folder: batch/<id>, base/<n> and members/<n> (the batches of that base), committed Parquet folders."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -63,26 +64,29 @@ class Rollup:
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return sorted(n for n in names if self._exists(f"{self.path}/{kind}/{n}/_SUCCESS"))
 
-    def _base(self) -> str | None:
-        return (self._list("base") or [None])[-1]
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The newest base and the ids of the batches that it holds (names of folders, not data)."""
+        name = (self._list("base") or [None])[-1]
+        if name is None:
+            return None, set()
+        members = self.spark.read.schema("id string").parquet(f"{self.path}/members/{name}")
+        return name, {r[0] for r in members.collect()}
 
     def committed(self) -> list[str]:
-        base = self._base()
-        return sorted({x for x in self._list("batch") if base is None or x > base} | ({base} if base else set()))
+        return self._list("batch")
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Add a batch; False, and nothing done, if that id is already in. Ids sort in commit order."""
-        base = self._base()
+        """Add a batch; False, and nothing done, if that id is already in."""
         target = f"{self.path}/batch/{batch_id}"
-        if (base is not None and batch_id <= base) or self._exists(f"{target}/_SUCCESS"):
+        if self._exists(f"{target}/_SUCCESS"):
             return False
-        signed(changes).coalesce(1).write.mode("overwrite").parquet(target)
+        signed(changes).write.mode("overwrite").parquet(target)
         return True
 
     def totals(self) -> DataFrame:
-        base = self._base()
+        base, held = self._base()
         paths = [f"{self.path}/base/{base}"] if base else []
-        paths += [f"{self.path}/batch/{b}" for b in self._list("batch") if base is None or b > base]
+        paths += [f"{self.path}/batch/{b}" for b in self._list("batch") if b not in held]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         return (
@@ -95,11 +99,12 @@ class Rollup:
 
     def compact(self) -> None:
         """Fold all committed batches into a base; readers see the old files until it is complete."""
+        base, held = self._base()
         batches = self._list("batch")
-        base = self._base()
-        newer = [b for b in batches if base is None or b > base]
-        if newer:
-            self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base/{newer[-1]}")
+        if set(batches) - held:
+            name = f"{int(base or 0) + 1:08d}"
+            self.spark.createDataFrame([(b,) for b in batches], "id string").write.mode("overwrite").parquet(f"{self.path}/members/{name}")
+            self.totals().write.mode("overwrite").parquet(f"{self.path}/base/{name}")
 
 
 # Tokenizer versions by the pattern of one token; both dialects of SQL read them alike.

@@ -9,6 +9,7 @@ equal parts have equal ids.  Natural text repeats its words, so most parts are f
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 
@@ -30,8 +31,10 @@ _UNEVEN = re.compile(r" (?:\s|\Z)")
 class WordMemo(dict):
     """part -> its ids as packed little-endian integers."""
 
-    def __init__(self, encoding: tiktoken.Encoding, typecode: str):
+    def __init__(self, encoding: tiktoken.Encoding, typecode: str, added: dict[str, int] | None = None):
         super().__init__()
+        self._added = {token: array(typecode, [i]).tobytes() for token, i in (added or {}).items()}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         self._text = encoding.encode_ordinary
         self._piece = encoding._core_bpe.encode_single_piece
         self._typecode = typecode
@@ -52,6 +55,13 @@ class WordMemo(dict):
         if not text:
             return b""
         claim(self)
+        if self._split and any(map(text.__contains__, self._added)):
+            return b"".join(self._added.get(part) or self._plain(part) for part in self._split.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
+        if not text:
+            return b""
         parts = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
         head = self[parts[0]] if parts[0] else b""
         return head + b"".join(map(self.__getitem__, [" " + p for p in parts[1:]]))
@@ -60,7 +70,7 @@ class WordMemo(dict):
         return np.frombuffer(self.packed(text), self.dtype)
 
 
-_memos: dict[str, WordMemo] = {}
+_memos: dict[tuple, WordMemo] = {}
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -69,12 +79,22 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def rank_vocabulary(path: str) -> WordMemo:
-    """The memo of a rank file; a text's special-token strings are ordinary text."""
-    if path not in _memos:
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings of a tokenizer's JSON file that stand for one id wherever a text holds them."""
+    with open(path, encoding="utf-8") as lines:
+        return {t["content"]: t["id"] for t in json.load(lines)["added_tokens"]}
+
+
+def rank_vocabulary(path: str, added: str | None = None) -> WordMemo:
+    """The memo of a rank file; ``added`` is the JSON file whose added tokens are cut out of texts first.
+
+    Without it a text's special-token strings are ordinary text.
+    """
+    if (path, added) not in _memos:
         table = ranks(path)
         encoding = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
         )
-        _memos[path] = WordMemo(encoding, "H" if max(table.values()) < 1 << 16 else "I")
-    return _memos[path]
+        extra = added_tokens(added) if added else {}
+        _memos[path, added] = WordMemo(encoding, "H" if max([*table.values(), *extra.values()]) < 1 << 16 else "I", extra)
+    return _memos[path, added]
