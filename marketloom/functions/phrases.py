@@ -15,7 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words a query may lose.
-STOP = frozenset("cho be va cua the a an of for and with loai nao tot gia re mua o dau".split())
+STOP = frozenset(
+    ["cho", "be", "va", "cua", "the", "a", "an", "of", "for", "and", "with", "loai", "nao", "tot", "gia", "re", "mua", "o", "dau"]
+)
 # Words that mark a product as one for small children, folded.
 BABY = re.compile(
     "an dam|tre em|cho be|em be|so sinh|nhu nhi|baby|infant|toddler|kids?|months?|thang|weaning|stage|bebe|kinder|enfant|bayi"
@@ -30,16 +32,70 @@ FORMS = (
     ("porridge", "cháo"), ("porridge", "porridge"), ("soup", "súp"), ("soup", "soup"), ("noodles", "mì"), ("noodles", "pasta"),
     ("puree", "puree"), ("puree", "nghiền"), ("juice", "juice"), ("juice", "nước ép"), ("powder", "bột"), ("powder", "powder"),
 )
-# Concepts by folded phrases in several languages; a short list likewise.
-CONCEPTS = (
-    ("rice", "rice"), ("rice", "gao"), ("rice", "reis"), ("rice", "riz"), ("oat", "oat"), ("oat", "oats"), ("oat", "yen mach"), ("oat", "hafer"),
-    ("ricecake", "rice cake"), ("ricecake", "banh gao"), ("cereal", "cereal"), ("cereal", "bot"), ("cereal", "ngu coc"), ("puffs", "puffs"),
-    ("apple", "apple"), ("apple", "tao"), ("apple", "apfel"), ("apple", "pomme"), ("banana", "banana"), ("banana", "chuoi"),
-    ("strawberry", "strawberry"), ("strawberry", "dau tay"), ("pumpkin", "pumpkin"), ("pumpkin", "bi do"), ("carrot", "carrot"), ("carrot", "ca rot"),
-    ("salmon", "salmon"), ("salmon", "ca hoi"), ("fish", "fish"), ("fish", "ca"), ("cheese", "cheese"), ("cheese", "pho mai"), ("milk", "milk"), ("milk", "sua"),
-)
+# Concepts by folded words in several languages.
+CONCEPT_WORDS = {
+    "rice": ["rice", "gao", "reis", "riz", "arroz", "riso"],
+    "oat": ["oat", "oats", "oatmeal", "yen mach", "hafer", "avoine", "avena"],
+    "wheat": ["wheat", "lua mi", "weizen", "ble"],
+    "corn": ["corn", "maize", "bap", "ngo", "mais"],
+    "quinoa": ["quinoa", "diem mach"],
+    "multigrain": ["multigrain", "mixed grain", "ngu coc tong hop", "mehrkorn", "multicereales"],
+    "cereal": ["cereal", "cereals", "bot", "ngu coc", "brei", "cereales", "bouillie"],
+    "porridge": ["porridge", "congee", "chao"],
+    "puree": ["puree", "pouch", "nghien", "xay nhuyen", "mus", "compote"],
+    "puffs": ["puffs", "puff", "banh phong", "banh xop", "melts"],
+    "biscuit": ["biscuit", "biscuits", "cookie", "cookies", "banh quy", "keks", "galletas"],
+    "rusk": ["rusk", "rusks", "teether", "teething", "banh gam", "zwieback"],
+    "ricecake": ["rice cake", "rice cakes", "banh gao", "rice rusks"],
+    "pasta": ["pasta", "noodle", "noodles", "nui", "mi", "nudeln"],
+    "yogurt": ["yogurt", "yoghurt", "sua chua", "joghurt", "yaourt"],
+    "apple": ["apple", "apples", "tao", "apfel", "pomme", "manzana", "mela"],
+    "banana": ["banana", "bananas", "chuoi", "banane", "platano"],
+    "pear": ["pear", "pears", "le", "birne", "poire", "pera"],
+    "mango": ["mango", "mangoes", "xoai", "mangue"],
+    "strawberry": ["strawberry", "strawberries", "dau tay", "erdbeere", "fraise", "fresa"],
+    "blueberry": ["blueberry", "blueberries", "viet quat", "heidelbeere", "myrtille"],
+    "raspberry": ["raspberry", "raspberries", "mam xoi", "himbeere", "framboise"],
+    "peach": ["peach", "peaches", "dao", "pfirsich", "peche"],
+    "apricot": ["apricot", "mo tay", "aprikose", "abricot"],
+    "prune": ["prune", "plum", "man tay", "pflaume", "pruneau"],
+    "orange": ["orange", "cam"],
+    "pineapple": ["pineapple", "thom", "dua thom", "ananas"],
+    "coconut": ["coconut", "nuoc dua", "cot dua"],
+    "grape": ["grape", "traube"],
+    "berry": ["berry", "berries", "qua mong"],
+    "carrot": ["carrot", "carrots", "ca rot", "karotte", "carotte", "zanahoria"],
+    "pumpkin": ["pumpkin", "squash", "butternut", "bi do", "kurbis", "potiron", "calabaza"],
+    "sweetpotato": ["sweet potato", "sweet potatoes", "khoai lang", "susskartoffel", "patate douce"],
+    "potato": ["potato", "potatoes", "khoai tay", "kartoffel"],
+    "spinach": ["spinach", "rau bina", "cai bo xoi", "spinat", "epinard"],
+    "broccoli": ["broccoli", "bong cai xanh", "sup lo xanh", "brokkoli", "brocoli"],
+    "pea": ["pea", "peas", "dau ha lan", "erbse"],
+    "beetroot": ["beetroot", "beet", "cu den", "rote bete"],
+    "kale": ["kale", "cai xoan"],
+    "tomato": ["tomato", "tomatoes", "ca chua", "tomate"],
+    "vegetable": ["vegetable", "vegetables", "veggie", "veggies", "rau cu", "rau", "gemuse", "legumes", "verduras"],
+    "fruit": ["fruit", "fruits", "trai cay", "hoa qua", "obst", "frucht"],
+    "chicken": ["chicken", "ga", "huhn", "poulet", "pollo"],
+    "beef": ["beef", "bo", "rind", "boeuf", "ternera"],
+    "pork": ["pork", "heo", "lon", "schwein"],
+    "salmon": ["salmon", "ca hoi", "lachs", "saumon"],
+    "fish": ["fish", "ca", "fisch", "poisson"],
+    "milk": ["milk", "sua", "milch", "lait", "leche"],
+    "cheese": ["cheese", "pho mai", "kase", "fromage"],
+    "vanilla": ["vanilla", "vani", "vanille"],
+    "cocoa": ["cocoa", "chocolate", "socola", "ca cao", "kakao"],
+    "cinnamon": ["cinnamon", "zimt", "cannelle"],
+    "seaweed": ["seaweed", "rong bien"],
+    "egg": ["egg", "trung ga", "oeuf"],
+}
+CONCEPTS = tuple((concept, phrase) for concept, phrases in CONCEPT_WORDS.items() for phrase in phrases)
+# Fixed values: "dau" alone may be an oil or a bean; beside these words it is a strawberry.
+STRAWBERRY = re.compile(r" (?:vi|huong) dau | dau (?:tao|chuoi|le|xoai|viet quat|cam) | (?:tao|chuoi|le|xoai|cam) dau ")
 #: Concepts that name a format rather than a flavour; they weigh half.
-FORMATS = frozenset("cereal porridge puree puffs biscuit rusk ricecake pasta yogurt fruit vegetable milk".split())
+FORMATS = frozenset(
+    ["cereal", "porridge", "puree", "puffs", "biscuit", "rusk", "ricecake", "pasta", "yogurt", "fruit", "vegetable", "milk"]
+)
 
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-䶿一-鿿]")
 _MARKS = re.compile("[̀-ͯ]")
@@ -105,9 +161,14 @@ def concepts(text: Column, lexicon: Sequence[tuple[str, str]] = CONCEPTS) -> Col
     """Sorted concepts of a title, over folded words."""
     matcher = Phrases(lexicon)
 
+    def one(t: str | None) -> list[str]:
+        words = re.sub("[^a-z0-9]+", " ", folded(t))
+        named = {"strawberry"} if STRAWBERRY.search(f" {words} ") else set()
+        return sorted(named | {label for _, label in matcher.find(words)})
+
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: sorted({label for _, label in matcher.find(re.sub("[^a-z0-9]+", " ", folded(t)))}))
+        return s.map(one)
 
     return run(text)
 

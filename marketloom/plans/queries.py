@@ -17,6 +17,8 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import history as H
 from ..operators import insights as I
+from ..operators import items as Items
+from ..operators import listings as LM
 from ..operators import matching as M
 from ..operators import rows as R
 from ..session import table
@@ -587,3 +589,100 @@ def importer_lookup(spark, d):
         F.when(F.col("s_nationkey") % 5 == 0, "A").when(F.col("s_suppkey") % 3 == 0, "B").alias("chain"),
         F.coalesce(F.when(F.col("s_acctbal") > 5000, "run"), F.when(F.col("s_acctbal") > 0, "directory"), F.lit("listing")).alias("importer"),
     )
+
+
+# ---- items and listings
+
+
+def _captured(spark: SparkSession, d: str) -> DataFrame:
+    """Raw connector rows: every part as a shop's offer with its price as a text in euros and its pack in the title."""
+    part = table(spark, d, "part")
+    euros = F.floor("p_retailprice").cast("long")
+    return part.select(
+        F.col("p_partkey").alias("part"), F.lit("shop").alias("source"),
+        F.concat(F.col("p_name"), F.lit(" 2x"), F.col("p_size").cast("string"), F.lit("g")).alias("title"),
+        F.concat(F.lit("https://www.shop.de/p/"), F.col("p_partkey").cast("string")).alias("url"),
+        F.upper("p_brand").alias("brand"), F.col("p_type").alias("seller"),
+        F.concat(F.lit("€ "), euros.cast("string")).alias("price"),
+        F.concat((euros + F.col("p_size")).cast("string"), F.lit(" EUR")).alias("original_price"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("Made in Japan")).alias("origin"),
+        F.concat(F.col("p_size").cast("string"), F.lit("k+")).alias("sold"),
+    )
+
+
+@query("""
+SELECT p_partkey AS part, 'Brand' || substr(p_brand, 6) AS brand, 'EUR' AS currency, CAST(floor(p_retailprice) AS DOUBLE) AS price,
+  CASE WHEN floor(p_retailprice) * 30500 <= 30000000 THEN CAST(floor(p_retailprice) * 30500 AS BIGINT) END AS price_vnd,
+  CASE WHEN floor(p_retailprice) * 30500 <= 30000000
+    THEN CAST(floor((1 - floor(p_retailprice) / (floor(p_retailprice) + p_size)) * 100 + 0.5) AS BIGINT) END AS discount,
+  CAST(2 * p_size AS BIGINT) AS size,
+  CASE WHEN floor(p_retailprice) * 30500 <= 30000000 AND 2 * p_size >= 20
+    THEN CAST(floor(floor(p_retailprice) * 30500 / (2 * p_size) * 100 + 0.5) AS BIGINT) END AS per_100,
+  'de' AS country, CASE WHEN p_size % 2 = 0 THEN 'jp' END AS origin_country, CAST(p_size * 1000 AS BIGINT) AS sold, 'shop.de' AS domain
+FROM part
+""".replace("CAST(floor(p_retailprice) AS DOUBLE) AS price,", "CASE WHEN floor(p_retailprice) * 30500 <= 30000000 THEN CAST(floor(p_retailprice) AS DOUBLE) END AS price,"))
+def item_build(spark, d):
+    """Raw rows to items; the brand of capitals is put in title case, an absurd price is dropped."""
+    items = Items.make_items(_captured(spark, d), "de")
+    return items.select(
+        "part", "brand", "currency", "price", "price_vnd", "discount", F.col("qty.total").alias("size"),
+        F.col("price_per_100_vnd").alias("per_100"), "country", "origin_country", "sold", "domain",
+    )
+
+
+def _listed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, d, "part")
+    abroad = part.where("p_size % 2 = 1").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.lit(None).cast("string").alias("gtin")
+    )
+    home = part.where("p_size % 2 = 0").select(
+        F.col("p_partkey").alias("listing"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("seller"),
+        F.when(F.col("p_size") % 3 == 0, "concung").when(F.col("p_size") % 3 == 1, "kidsplaza").otherwise("tiki").alias("source"),
+        F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("gtin"),
+        F.floor("p_retailprice").cast("long").alias("price_vnd"), F.col("p_size").cast("long").alias("sold"),
+        F.when(F.col("p_size") % 10 == 0, F.concat(F.lit("Importer "), F.col("p_brand"))).alias("importer"),
+    )
+    return abroad, home
+
+
+_WORDS_SQL = "list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: len(x) > 1 AND NOT regexp_full_match(x, '[0-9]+'))"
+_LISTING_MATCH = f"""
+WITH a AS (SELECT p_partkey AS id, p_brand AS brand, list_distinct({_WORDS_SQL}) AS need FROM part WHERE p_size % 2 = 1),
+h AS (SELECT p_partkey AS listing, p_brand AS brand, {_WORDS_SQL} AS have, p_size,
+  CASE p_size % 3 WHEN 0 THEN 'Con Cưng' WHEN 1 THEN 'Kids Plaza' END AS chain,
+  CAST(floor(p_retailprice) AS BIGINT) AS price_vnd, CASE WHEN p_size % 10 = 0 THEN 'Importer ' || p_brand END AS importer
+  FROM part WHERE p_size % 2 = 0),
+s AS (SELECT id, listing, chain, price_vnd, importer, p_size AS sold, len(list_filter(need, lambda w: list_contains(have, w) OR
+    (len(w) >= 4 AND len(list_filter(have, lambda x: len(x) >= 4 AND (starts_with(x, w) OR starts_with(w, x)))) > 0))) / len(need) AS score
+  FROM a JOIN h USING (brand)),
+m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, listing) AS rank FROM s WHERE score >= 0.5
+  QUALIFY rank <= 12)
+"""
+
+
+@query(_LISTING_MATCH + "SELECT id, listing, round(score, 6) AS score, rank, chain FROM m")
+def listing_match(spark, d):
+    """Each product's twelve best listings at home, met by brand."""
+    abroad, home = _listed(spark, d)
+    return LM.matches(abroad, home).select("id", "listing", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "chain")
+
+
+@query(_LISTING_MATCH + """,
+e AS (SELECT id, count(*) AS listings, count(*) FILTER (score >= 0.65) AS strong, CAST(sum(sold) AS BIGINT) AS sold,
+  min(price_vnd) AS min_price_vnd, max(price_vnd) AS max_price_vnd, count(DISTINCT chain) FILTER (score >= 0.65) AS chains,
+  count(DISTINCT importer) AS importers FROM m GROUP BY id),
+b AS (SELECT brand, count(*) AS n FROM h GROUP BY brand)
+SELECT a.id, coalesce(e.listings, 0) AS listings, coalesce(e.strong, 0) AS strong, coalesce(e.sold, 0) AS sold, e.min_price_vnd, e.max_price_vnd,
+  coalesce(e.chains, 0) AS chains, coalesce(e.importers, 0) AS importers, coalesce(b.n, 0) AS brand_listings,
+  CASE WHEN e.strong > 0 THEN CASE WHEN e.chains >= 2 AND e.importers > 0 THEN 'nkcn' ELSE 'partial' END
+    WHEN e.listings > 0 THEN 'partial' WHEN b.n > 0 THEN 'brand' ELSE 'absent' END AS class
+FROM a LEFT JOIN e USING (id) LEFT JOIN b USING (brand)
+""")
+def import_check(spark, d):
+    """A13, A14, O-P19: evidence of a product's listings at home, and its import class."""
+    abroad, home = _listed(spark, d)
+    found = LM.evidence(abroad, LM.matches(abroad, home), LM.brand_listings(abroad, home))
+    return found.select(
+        "id", "listings", "strong", "sold", "min_price_vnd", "max_price_vnd", F.size("chains").cast("long").alias("chains"),
+        F.size("importers").cast("long").alias("importers"), "brand_listings", "class",
+    )
