@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
-from .text import clean, first_label, fold
+from .text import bound, clean, first_label, fold
 
 
 def half_up(x: Column) -> Column:
@@ -37,20 +37,26 @@ def parse_number(token: Column, currency: Column) -> Column:
 def parse_price(text: Column, market: Column | str = "vn", hint: Column | None = None) -> Column:
     """struct(value, currency) of a price text; null without a positive number."""
     market = F.lit(market) if isinstance(market, str) else market
-    s = clean(text)
-    sign = first_label(s, L.CURRENCIES)
-    currency = F.coalesce(F.upper(hint), sign) if hint is not None else sign
     dollar = F.lit("USD")
     for code, name in L.DOLLARS.items():
         dollar = F.when(market == code, name).otherwise(dollar)
-    currency = (
-        F.when(currency == "YEN", F.when(market == "cn", "CNY").otherwise("JPY"))
-        .when(currency == "DOLLAR", dollar)
-        .otherwise(currency)
-    )
-    token = F.regexp_replace(F.regexp_extract(s, r"[0-9][0-9\s., ']*", 0), r"[.,\s]+$", "")
-    value = parse_number(token, currency)
-    return F.when((value > 0) & (token != ""), F.struct(value.alias("value"), currency.alias("currency")))
+
+    def currency(sign: Column) -> Column:
+        return (
+            F.when(sign == "YEN", F.when(market == "cn", "CNY").otherwise("JPY")).when(sign == "DOLLAR", dollar).otherwise(sign)
+        )
+
+    def price(s: Column) -> Column:
+        sign = first_label(s, L.CURRENCIES)
+        token = F.regexp_replace(F.regexp_extract(s, r"[0-9][0-9\s., ']*", 0), r"[.,\s]+$", "")
+        signed = F.coalesce(F.upper(hint), sign) if hint is not None else sign
+        return bound(F.struct(token.alias("token"), bound(signed, currency).alias("currency")), valued)
+
+    def valued(v: Column) -> Column:
+        number = F.when(v["token"] != "", parse_number(v["token"], v["currency"]))
+        return bound(number, lambda n: F.when(n > 0, F.struct(n.alias("value"), v["currency"].alias("currency"))))
+
+    return bound(clean(text), price)
 
 
 _NUM, _UNIT = r"([0-9]+(?:[.,][0-9]+)?)", r"(kg|grams?|gam|gr|g|ml|lít|lit|l|oz|lb)"
@@ -58,7 +64,10 @@ _NUM, _UNIT = r"([0-9]+(?:[.,][0-9]+)?)", r"(kg|grams?|gam|gr|g|ml|lít|lit|l|oz
 
 def parse_quantity(text: Column) -> Column:
     """struct(total, unit, label) of a pack text: n x size, size x n, or size with a pack count."""
-    s = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    return bound(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), _quantity)
+
+
+def _quantity(s: Column) -> Column:
     units = F.create_map(*(F.lit(x) for pair in L.UNITS.items() for x in pair))
 
     def number(x: Column) -> Column:
@@ -104,8 +113,10 @@ def parse_quantity(text: Column) -> Column:
 
 def parse_age_months(text: Column) -> Column:
     """Months of age a text names: a range of years, "from n", months 3 to 36, years 1 to 5, a stage."""
-    s = F.lower(text)
+    return bound(F.lower(text), _age_months)
+
 
+def _age_months(s: Column) -> Column:
     def number(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(s, pattern, 1), F.lit("")).try_cast("int")
 

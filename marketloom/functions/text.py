@@ -20,6 +20,11 @@ def pattern(p: str) -> str:
     return "(?iu)(?:" + p.replace(r"\b", BORDER) + ")"
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with value written and computed once, however often body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(s: Column) -> Column:
     """White space collapsed to single spaces and trimmed; null becomes empty."""
     return F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), SPACE + "+", " "))

@@ -32,6 +32,11 @@ def _completed(raw: DataFrame) -> DataFrame:
     )
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that the optimizer does not write a column's expression out at each mention."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(c) for c in df.columns)))))
+
+
 def _filled(s: Column) -> Column:
     return F.when(s != "", s)
 
@@ -41,7 +46,7 @@ def make_items(raw: DataFrame, market: str = "vn", rates: dict[str, float] | Non
     df = _completed(raw).withColumn("market", F.coalesce("market", F.lit(market)))
     number = F.col("price").try_cast("double")
     parsed = P.parse_price(F.col("price"), F.col("market"), F.col("currency"))
-    df = df.withColumn("_p", F.when(number.isNull(), parsed)).withColumn(
+    df = _once(df.withColumn("_p", F.when(number.isNull(), parsed))).withColumn(
         "_currency", F.coalesce(F.when(number.isNull(), F.col("_p.currency")), "currency")
     )
     old = F.coalesce(
@@ -68,7 +73,7 @@ def make_items(raw: DataFrame, market: str = "vn", rates: dict[str, float] | Non
         F.when(F.col("snippet") != "", T.truncate(F.col("snippet"), 300)).alias("snippet"),
         F.when(F.col("description") != "", T.truncate(F.col("description"), 700)).alias("description"),
     )
-    return finalize(df, rates)
+    return finalize(_once(df), rates)
 
 
 DERIVED = (
@@ -82,9 +87,9 @@ def finalize(items: DataFrame, rates: dict[str, float] | None = None) -> DataFra
     df = items.drop(*DERIVED)
     section = lambda name: F.element_at("sections", name)
     currency = F.coalesce("currency", F.when(F.col("price").isNotNull() & (B.country_from_url(F.col("url")) == "vn"), "VND"))
-    df = df.withColumn("currency", currency)
+    df = _once(df.withColumn("currency", currency))
     dong = P.to_dong(F.col("price"), B.rate(F.col("currency"), rates))
-    df = df.withColumn("price", F.when(F.coalesce(dong <= ABSURD, F.lit(True)), F.col("price")))
+    df = _once(df.withColumn("price", F.when(F.coalesce(dong <= ABSURD, F.lit(True)), F.col("price"))))
     dong = P.to_dong(F.col("price"), B.rate(F.col("currency"), rates))
     old = F.col("original_price")
     discount = F.when((old != 0) & (F.col("price") != 0), P.half_up((1 - F.col("price") / old) * 100))
@@ -108,6 +113,7 @@ def finalize(items: DataFrame, rates: dict[str, float] | None = None) -> DataFra
         ),
         "origin_country": B.country_from_text(F.coalesce(_filled(F.col("origin")), section("origin"))),
     })
+    df = _once(df)
     per_100 = F.when(
         (F.col("price_vnd") != 0) & (F.col("qty.total") >= 20), P.half_up(F.col("price_vnd") / F.col("qty.total") * 100)
     )
@@ -142,7 +148,7 @@ def merge_details(items: DataFrame, details: DataFrame, rates: dict[str, float]
         "brand": F.coalesce("i.brand", B.normalize_brand(of("brand", "string"))),
         "sections": F.map_concat(own, extra),
     }
-    return finalize(joined.select(*(out[c].alias(c) if c in out else F.col("id") if c == "id" else F.col(f"i.{c}") for c in items.columns)), rates)
+    return finalize(_once(joined.select(*(out[c].alias(c) if c in out else F.col("id") if c == "id" else F.col(f"i.{c}") for c in items.columns))), rates)
 
 
 def final_relevance(found: Column, split: Column, bonus: Column, forms: Column, form: Column, names_form: Column) -> Column:

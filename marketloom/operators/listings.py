@@ -88,7 +88,7 @@ def matches(products: DataFrame, listings: DataFrame) -> DataFrame:
     listings share is a hot key of an equi join, which AQE splits.  Of each product only the best BEST
     listings stay, told by a window over its own candidates; equal scores go to the smaller listing.
     """
-    known = identities(products)
+    known = identities(products)  # the concepts' Arrow batch keeps these expressions apart from later ones
     keys = F.array_compact(
         F.array(F.concat(F.lit("c:"), "code"), F.when(F.length(T.squash(F.col("brand"))) >= 3, F.concat(F.lit("b:"), T.squash(F.col("brand")))))
     )
