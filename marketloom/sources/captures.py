@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, item_id, text_from_html, truncate
+from ..functions.text import bound, clean, item_id, text_from_html, truncate
 
 #: What every connector gives; what it does not know is null.
 FIELDS = {
@@ -54,6 +54,10 @@ class Connector:
     records: tuple[str, ...]
     fields: Mapping[str, Callable[[], Column]]
     keep: Callable[[], Column] = field(default=lambda: at("title").isNotNull() | F.lit(True))
+    #: The payload's JSON, where it lies inside a page.
+    json: Callable[[Column], Column] = field(default=lambda payload: payload)
+    #: Of equal keys the first record stays, a null key drops the record; told inside the payload, without a shuffle.
+    unique: Callable[[Column], Column] | None = None
 
 
 EVERYWHERE = ("*",)
@@ -64,6 +68,44 @@ def _price_text(*paths: str) -> Column:
     return F.nullif(F.regexp_extract(F.concat_ws(" ", *map(at, paths)), PRICE_IN_TEXT, 0), F.lit(""))
 
 
+def _nested(field_: str, path: str) -> Column:
+    """A value of JSON text inside a record's field, or of the object that stands there."""
+    return F.nullif(F.get_json_object(at(field_), f"$.{path}"), F.lit(""))
+
+
+def _key_of(record: Column, key: str, needed: tuple[str, ...], unwanted: str | None = None) -> Column:
+    """A record's key; null without what a row needs, or where a flag says that it is an advertisement."""
+    get = lambda name: F.get_json_object(record, f"$.{name}")
+    ok = F.lit(True)
+    for name in needed:
+        ok = ok & (F.coalesce(get(name), F.lit("")) != "")
+    if unwanted:
+        ok = ok & ~F.coalesce(get(unwanted), F.lit("")).isin("true", "1")
+    return F.when(ok, get(key))
+
+
+def _page_data(page: Column) -> Column:
+    """The state object of a page built by a common script framework."""
+    return F.regexp_extract(page, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1)
+
+
+def _inline_objects(page: Column) -> Column:
+    """All flat objects under one name in a page, as a JSON list; what is no JSON is left out."""
+    found = F.regexp_extract_all(page, F.lit(r'"brazeData":\s*(\{[^{}]*\})'), F.lit(1))
+    whole = F.filter(found, lambda o: F.try_parse_json(o).isNotNull())
+    return F.concat(F.lit("["), F.array_join(whole, ","), F.lit("]"))
+
+
+def _asda_title() -> Column:
+    """Brand and name; a name that opens with the brand is dropped, as the site's own titles do."""
+    brand, name = at("BRAND"), at("NAME")
+    return clean(F.when(F.startswith(F.lower(name), F.lower(brand)), brand).otherwise(F.concat_ws(" ", brand, name)))
+
+
+def _dashed(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
+
+
 CONNECTORS: dict[str, Connector] = {
     c.id: c
     for c in (
@@ -155,6 +197,46 @@ CONNECTORS: dict[str, Connector] = {
             "rating": lambda: F.when(num("numberOfReviews") > 0, F.round(num("averageReviewScore"), 1)), "reviews": lambda: num("numberOfReviews"),
             "snippet": lambda: joined(" · ", at("ppuVolume"), at("pricePerUnit")), "seller": lambda: F.lit("Boots"),
         }, lambda: at("offerName").isNotNull() & at("actionURL").isNotNull()),
+        Connector("sainsburys", "shop", ("gb",), ("products",), {
+            "title": lambda: at("name"), "url": lambda: prefixed("https", F.regexp_replace(at("full_url"), "^https?", "")), "image": lambda: at("image"),
+            "price": lambda: at("retail_price.price").try_cast("double"), "originalPrice": lambda: at("promotions[0].original_price").try_cast("double"),
+            "currency": lambda: F.lit("GBP"), "rating": lambda: num("reviews.average_rating"), "reviews": lambda: num("reviews.total"),
+            "gtin": lambda: at("eans[0]"), "seller": lambda: F.lit("Sainsbury's"),
+        }),
+        Connector("11st", "shop", ("kr",), ("data[*].items",), {
+            "title": lambda: clean(at("title")), "url": lambda: prefixed("https://www.11st.co.kr/products/", at("id")), "image": lambda: at("imageUrl"),
+            "price": lambda: num("finalPrc"), "originalPrice": lambda: above(num("selPrc"), num("finalPrc")), "currency": lambda: F.lit("KRW"),
+            "brand": lambda: at("brandEngNm"), "rating": lambda: num("satisfactionScore"), "sold": lambda: num("saleCnt"),
+            "reviews": lambda: F.nullif(F.regexp_replace(at("reviewCountText"), "[^0-9]", "").try_cast("double"), F.lit(0.0)),
+            "seller": lambda: F.concat_ws(" · ", F.lit("11번가"), at("sellerNickName")),
+        }, unique=lambda r: _key_of(r, "id", ("id", "title", "finalPrc"), "adProduct")),
+        Connector("asda", "shop", ("gb",), ("hits",), {
+            "title": _asda_title,
+            "url": lambda: F.concat(
+                F.lit("https://www.asda.com/groceries/product/"),
+                _dashed(F.coalesce(_nested("PRIMARY_TAXONOMY", "AISLE_NAME"), _nested("PRIMARY_TAXONOMY", "DEPT_NAME"), F.lit("groceries"))), F.lit("/"),
+                F.regexp_replace(_dashed(_asda_title()), "^-|-$", ""), F.lit("/"), at("CIN"),
+            ),
+            "image": lambda: F.concat(F.lit("https://asdagroceries.scene7.com/is/image/asdagroceries/"), at("IMAGE_ID"), F.lit("?$ProdListProd$")),
+            "price": lambda: F.coalesce(_nested("PRICES", "EN.PRICE"), _nested("PRICES", "*.PRICE")).try_cast("double"), "currency": lambda: F.lit("GBP"),
+            "brand": lambda: at("BRAND"), "rating": lambda: F.when(num("AVG_RATING") > 0, F.floor(num("AVG_RATING") * 10 + 0.5) / 10), "reviews": lambda: num("RATING_COUNT"),
+            "snippet": lambda: joined(" · ", at("PACK_SIZE"), _nested("PRICES", "EN.PRICEPERUOMFORMATTED")), "seller": lambda: F.lit("Asda"),
+            "sponsored": lambda: F.coalesce(at("IS_SPONSORED") == "true", F.lit(False)),
+        }, lambda: at("NAME").isNotNull() & at("CIN").isNotNull() & (F.coalesce(at("DISPLAY_ONLINE"), F.lit("")) != "false")),
+        Connector("shoppers", "shop", ("ca",), (
+            "props.pageProps.viewDefinitionResults.viewDefinition.layout.sections.mainContentCollection.components[*].data.productTiles",
+        ), {
+            "title": lambda: clean(at("title")), "url": lambda: prefixed("https://shop.shoppersdrugmart.ca", F.split_part(at("link"), F.lit("?"), F.lit(1))),
+            "image": lambda: F.coalesce(at("productImage[0].mediumUrl"), at("productImage[0].imageUrl")), "price": lambda: num("pricing.price"),
+            "currency": lambda: F.lit("CAD"), "brand": lambda: at("brand"), "rating": lambda: at("ratings.average_rating").try_cast("double"),
+            "reviews": lambda: at("ratings.review_count").try_cast("long"), "snippet": lambda: at("pricingUnits.unit"), "seller": lambda: F.lit("Shoppers Drug Mart"),
+        }, json=_page_data, unique=lambda r: _key_of(r, "productId", ("title", "link"), "isSponsored")),
+        Connector("lotteon", "shop", ("kr",), ("",), {
+            "title": lambda: clean(at("spdNm")), "url": lambda: prefixed("https://www.lotteon.com/p/product/", at("spdNo")), "image": lambda: at("image"),
+            "price": lambda: F.coalesce(num("discountPrice"), num("price")), "originalPrice": lambda: above(num("price"), F.coalesce(num("discountPrice"), F.lit(0.0))),
+            "currency": lambda: F.lit("KRW"), "brand": lambda: at("brandName"), "rating": lambda: F.when(num("reviewCount") > 0, num("reviewScore")),
+            "reviews": lambda: num("reviewCount"), "seller": lambda: F.lit("Lotte ON"),
+        }, json=_inline_objects, unique=lambda r: _key_of(r, "spdNo", ("spdNm", "spdNo"))),
         Connector("off", "db", EVERYWHERE, ("hits",), {
             "title": lambda: clean(F.coalesce(at("product_name_vi"), at("product_name"), at("product_name_en"))),
             "url": lambda: prefixed("https://world.openfoodfacts.org/product/", at("code")), "image": lambda: F.coalesce(at("image_front_url"), at("image_front_small_url")),
@@ -167,7 +249,7 @@ CONNECTORS: dict[str, Connector] = {
 def _records(path: str) -> Column:
     """The records under one path of the payload, as JSON texts."""
     groups, _, rest = path.partition("[*].")
-    top = F.from_json(F.get_json_object("payload", f"$.{groups}"), "array<string>")
+    top = F.from_json(F.get_json_object("payload", f"$.{groups}") if groups else F.col("payload"), "array<string>")
     if not rest:
         return top
     inner = F.transform(top, lambda g: F.from_json(F.get_json_object(g, f"$.{rest}"), "array<string>"))
@@ -177,9 +259,14 @@ def _records(path: str) -> Column:
 def read(captures: DataFrame, source: str) -> DataFrame:
     """Listing rows of one source's captures(source, market, payload), with their position."""
     c = CONNECTORS[source]
-    rows = captures.where(F.col("source") == source)
-    each = F.posexplode(F.concat(*(F.coalesce(_records(p), F.array().cast("array<string>")) for p in c.records)))
-    rows = rows.select("source", "market", each.alias("pos", "record")).where(c.keep())
+    rows = captures.where(F.col("source") == source).select("source", "market", c.json(F.col("payload")).alias("payload"))
+    records = F.concat(*(F.coalesce(_records(p), F.array().cast("array<string>")) for p in c.records))
+    if c.unique:
+        keyed = F.transform(records, lambda r: F.struct(c.unique(r).alias("key"), r.alias("record")))
+        records = bound(keyed, lambda k: F.transform(
+            F.filter(k, lambda x, i: x["key"].isNotNull() & (F.array_position(k["key"], x["key"]) == i + 1)), lambda x: x["record"]
+        ))
+    rows = rows.select("source", "market", F.posexplode(records).alias("pos", "record")).where(c.keep())
     fields = [
         (c.fields[name]() if name in c.fields else F.lit(None)).cast(kind).alias(name) for name, kind in FIELDS.items()
     ]

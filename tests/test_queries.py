@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from marketloom.plans import research_queries  # noqa: F401
 from marketloom.plans.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
