@@ -169,3 +169,22 @@ def company_key(name: Column) -> Column:
     """Folded company name without legal forms, letters and digits only."""
     words = "|".join(L.LEGAL)
     return F.regexp_replace(F.regexp_replace(fold(name), rf"(?<![a-z0-9_])(?:{words})(?![a-z0-9_])", " "), "[^a-z0-9]+", "")
+
+
+def euro_price(text: Column) -> Column:
+    """A price with two decimals before a euro sign; null for others and for prices of a unit."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    found = F.concat_ws(".", *(F.nullif(F.regexp_extract(t, r"([0-9]+)[,.]([0-9]{2})\s*€", i), F.lit("")) for i in (1, 2)))
+    return F.when(~t.rlike(r"(?i)/\s*(?:kg|l)\b|/\s*100|le kg|le litre"), F.nullif(found, F.lit("")).try_cast("double"))
+
+
+def plain_price(text: Column) -> Column:
+    """A text that is a number with at most two decimals and nothing else."""
+    t = F.trim(text.cast("string"))
+    return F.when(t.rlike(r"^[0-9]+(?:[.,][0-9]{1,2})?$"), F.replace(t, F.lit(","), F.lit(".")).cast("double"))
+
+
+def age_label(months: Column) -> Column:
+    """Months as "n tháng+", whole years as "n tuổi+"; empty for none."""
+    years = F.concat((months / 12).cast("int").cast("string"), F.lit(" tuổi+"))
+    return F.when(months.isNull(), "").when((months >= 12) & (months % 12 == 0), years).otherwise(F.concat(months.cast("int").cast("string"), F.lit(" tháng+")))

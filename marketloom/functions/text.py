@@ -96,3 +96,28 @@ def first_label(text: Column, lexicon: list[tuple[str, str]]) -> Column:
     for name, p in reversed(lexicon):
         out = F.when(text.rlike(p), F.lit(name)).otherwise(out)
     return out
+
+
+# Words with which a shop's own text begins to follow a product's.
+TAIL = (
+    "Xem thêm|Xem chi tiết|Xem tất cả|Đọc thêm|Read more|Mua ngay|Giá sản phẩm trên Tiki|Giá sản phẩm đã bao gồm|"
+    "Bên cạnh đó, tuỳ vào loại sản phẩm|Sản phẩm được phân phối bởi"
+)
+# European words for baby food, in English.
+FOOD_WORDS = [
+    (pattern(r"\bpetits? pots?\b"), "baby food jar"), (pattern(r"\bpotitos?\b|\btarritos?\b"), "baby food jar"),
+    (pattern(r"\bomogeneizzat[oi]\b"), "baby puree"), (pattern(r"\bpappin[ae]\b|\bpappa\b"), "baby food"), (pattern(r"\bbrei\b"), "baby porridge"),
+    (pattern(r"\bquetschies?\b"), "fruit pouch"), (pattern(r"\bgourdes?\b"), "fruit pouch"),
+]
+
+
+def cut_tail(s: Column) -> Column:
+    """A text up to where the shop's own phrases follow."""
+    return F.regexp_replace(s, rf"(?siu){SPACE}*(?:>>>|>>|{TAIL}){BORDER}.*$", "")
+
+
+def english_food_words(s: Column) -> Column:
+    """European words for baby food replaced by English ones, before a text is translated."""
+    for words, english in FOOD_WORDS:
+        s = F.regexp_replace(s, words, english)
+    return s

@@ -61,3 +61,8 @@ def public_http(url: Column) -> Column:
     h = host(url)
     private = r"^(localhost|.*\.local|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|0\..*|\[.*)$"
     return clean(url).rlike("(?i)^https?://") & (h != "") & ~h.rlike(private)
+
+
+def shop_name(h: Column) -> Column:
+    """A host without the label that only says that it is a shop."""
+    return F.regexp_replace(h, r"^(www|shop|shopping|groceries|tienda|supermercado|courses)\.", "")

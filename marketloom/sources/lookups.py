@@ -74,19 +74,20 @@ def with_food_facts(items: DataFrame, facts: DataFrame) -> DataFrame:
     """items whose missing sections are filled from the database by valid barcode; section_notes names the origin."""
     names = ("ingredients", "storage", "usage")
     code = P.gtin(F.col("gtin"))
-    # items without a valid barcode, however many, take no part in the shuffle's equal keys
+    # the many items without a valid barcode get keys that differ and meet nothing, so they do not gather in one task
+    key = F.coalesce(code, F.concat(F.lit("none:"), F.xxhash64("id").cast("string")))
     f = facts.select(F.col("gtin").alias("_code"), *(F.col(n).alias(f"_{n}") for n in names))
     none = F.create_map().cast("map<string,string>")
-    joined = items.withColumn("_key", code).join(f, F.col("_key") == F.col("_code"), "left")
+    joined = items.withColumn("_key", key).join(f, F.col("_key") == F.col("_code"), "left")
     own = F.map_filter(F.coalesce("sections", none), lambda _, v: v != "")
     extra = F.map_filter(
         F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(f"_{n}") for n in names))),
         lambda k, v: v.isNotNull() & ~F.map_contains_key(own, k),
     )
+    given = F.map_from_entries(F.transform(F.map_keys("_extra"), lambda k: F.struct(k.alias("k"), F.lit("food database").alias("v"))))
     notes = F.coalesce("section_notes", none) if "section_notes" in items.columns else none
-    return joined.withColumns({
-        "sections": F.map_concat(own, extra), "section_notes": F.map_concat(notes, F.transform_values(extra, lambda _, __: F.lit("food database"))),
-    }).drop("_key", "_code", *(f"_{n}" for n in names))
+    merged = joined.withColumn("_extra", extra).withColumn("section_notes", F.map_concat(notes, given)).withColumn("sections", F.map_concat(own, "_extra"))
+    return merged.drop("_key", "_code", "_extra", *(f"_{n}" for n in names))
 
 
 def translated(queries: DataFrame, table: DataFrame, language: str) -> DataFrame:

@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from marketloom.functions import price, text, urls
 from marketloom.operators import candidates, exports, tracking
-from marketloom.sources import captures, lookups
+from marketloom.sources import captures, details, lookups
 
 
 def one(spark, column, **values):
@@ -136,3 +137,32 @@ def test_more_connectors(spark):
     assert (first["sainsburys"]["url"], first["sainsburys"]["originalPrice"], first["sainsburys"]["gtin"]) == ("https://s.co.uk/p", 3.0, "123")
     assert (first["shoppers"]["url"], first["shoppers"]["price"]) == ("https://shop.shoppersdrugmart.ca/a", 3.5)
     assert (first["lotteon"]["price"], first["lotteon"]["originalPrice"]) == (15.0, 20.0)
+
+
+def test_small_functions(spark):
+    x = F.col("x")
+    for want, got in (
+        (4.99, price.euro_price(F.lit("4,99 €"))), (None, price.euro_price(F.lit("4,99 €/kg"))), (None, price.euro_price(F.lit("5 €"))),
+        (3.5, price.plain_price(F.lit(" 3,5 "))), (None, price.plain_price(F.lit("3.555"))), ("2 tuổi+", price.age_label(F.lit(24))),
+        ("6 tháng+", price.age_label(F.lit(6))), ("", price.age_label(F.lit(None))), ("Gạo", text.cut_tail(F.lit("Gạo  Xem thêm nữa"))),
+        ("baby food jar pomme", text.english_food_words(F.lit("petits pots pomme"))), ("x.org", urls.shop_name(F.lit("shop.x.org"))),
+    ):
+        assert one(spark, got, x="") == want
+    assert one(spark, x, x="") == ""
+
+
+def test_details(spark):
+    payloads = {
+        "tiki": {"price": 5, "specifications": [{"attributes": [{"code": "volume", "value": "0,5"}, {"code": "origin", "value": "<b>Nhật</b>"}, {"code": "warning", "value": "Đang cập nhật"}]}, {}]},
+        "target": {"data": {"product": {"item": {"primary_barcode": "1", "product_description": {"bullet_descriptions": ["<B>Age Level:</B> 6 Months", "x"]}, "enrichment": {"nutrition_facts": {"ingredients": "Oats"}}}}}},
+        "woolworths": {"AdditionalAttributes": {"allergystatement": "Milk", "allergenmaybepresent": "Soy"}, "CountryOfOriginLabel": "Made in Australia"},
+        "dm": {"descriptionGroups": [{"header": "Zutaten", "contentBlock": [{"texts": ["Reis", "Salz"]}]}, {"header": "Zutaten", "contentBlock": [{"texts": ["no"]}]}, {"header": "Produktbeschreibung", "contentBlock": ["Gut"]}, {"header": "x", "contentBlock": ["y"]}]},
+        "off": {"items": [{"price": 1, "currency": "EUR", "date": "2024-01-01"}, {"price": 2, "currency": "USD", "date": "2024-03-01"}]},
+    }
+    rows = [(s, s, json.dumps(p)) for s, p in payloads.items()] + [("bad", "off", "no json"), ("none", "dm", None)]
+    got = {r["id"]: r for r in details.read_all(spark.createDataFrame(rows, "id string, source string, payload string")).collect()}
+    assert got["tiki"]["sections"] == {"weight": "500g", "origin": "Nhật"} and got["tiki"]["price"] == 5.0
+    assert got["target"]["sections"] == {"ingredients": "Oats", "age": "6 Months"} and got["target"]["gtin"] == "1"
+    assert got["woolworths"]["sections"] == {"warnings": "Milk. May contain: Soy", "origin": "Made in Australia"}
+    assert got["dm"]["sections"] == {"ingredients": "Reis Salz"} and got["dm"]["description"] == "Gut"
+    assert (got["off"]["price"], got["off"]["currency"]) == (2.0, "USD") and got["bad"]["price"] is None and len(got) == 7
