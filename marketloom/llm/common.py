@@ -112,6 +112,30 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield rest
 
 
+def group_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Runs of whole groups of rows that arrive sorted by keys, with the row at which each group starts.
+
+    A run ends with the batch it came in; only the last, open group is kept for the next one.
+    """
+    rest = None
+    for batch in batches:
+        run = pa.Table.from_batches([batch])
+        run = run if rest is None else pa.concat_tables([rest, run]).combine_chunks()
+        if not run.num_rows:
+            continue
+        new = np.zeros(run.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            v = run.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(new)
+        if len(starts) > 1:
+            yield run.slice(0, starts[-1]), starts[:-1]
+        rest = run.slice(starts[-1])
+    if rest is not None:
+        yield rest.combine_chunks(), np.zeros(1, np.int64)
+
+
 def connected(scratch: Scratch, edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """Component of every vertex of an undirected edge list, as ``(node, label)``.
 

@@ -1,19 +1,22 @@
 """Operator 3: near-duplicate embeddings by randomised-rotation binary codes (RaBitQ).
 
-A unit vector is rotated at random and kept as its signs, with the stored correction factor that
-makes the inner product of the code with another rotated vector an unbiased estimate of the cosine.
-The estimate's error is bounded with high confidence (Gao & Long, "RaBitQ", 2024), so the bound
-says which pairs might link; those, and only those, are recomputed on the original vectors in double
-precision.  Pairs are looked for inside the buckets of random-hyperplane sign bits, in so many tables
-that a pair at the threshold shares no bucket with probability ``MISS``.
-
-Equal vectors of one label are one class from the start.  No pair leaves a task: a bucket returns for
-each of its vectors how many links it has there (a pair counts in the first table it shares), and the
-smallest vector its links reach.  Buckets larger than ``BLOCK`` are compared block by block.
+A unit vector is rotated at random and stored as its signs and a correction factor, which make the inner
+product of the code with another rotated vector an unbiased estimate of the cosine (Gao & Long, "RaBitQ",
+2024).  The other side is stored too, rounded at random to a byte a component, so that estimates need no
+vector.  Their error is bounded with high confidence, and the bound says which pairs might link; those,
+and only those, are recomputed on the original vectors in double precision.  Pairs are looked for inside
+the buckets of random-hyperplane sign bits, in so many tables that a pair at the threshold shares no
+bucket with probability ``MISS``.
+
+Two passes go over the buckets.  The first moves codes and returns the members that have a pair in doubt;
+the second moves the vectors of those members alone and recomputes their pairs in doubt.  Equal vectors
+of one label are one class from the start.  No pair leaves a task: a bucket returns for each of its vectors
+how many links it has there (a pair counts in the first table it shares), and the smallest vector its links
+reach.  Buckets larger than ``BLOCK`` are compared block by block.
 
 Vectors that are null, empty, zero or hold null or non-finite components, or whose label or vec_id is null,
 link with nothing: n_links 0, component_id their own vec_id.  Vectors of different length have no
-cosine and do not link.  Rows that repeat a vec_id count as vectors each.
+cosine and do not link.  Rows that repeat a vec_id count as vectors each.  An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected, map_arrow, sorted_groups
+from .common import Scratch, connected, group_runs, map_arrow
 
 COSINE = 0.98
 MISS = 1e-6
 #: Standard deviations of the estimate that the confidence bound allows.
 CONFIDENCE = 5.0
 BLOCK = 1024
+#: Groups up to this size are compared together, row against row; larger ones by matrix product.
+SMALL = 48
+#: Numbers that one step over pairs holds at once.
+STEP = 1 << 22
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -45,6 +52,16 @@ def hyperplanes(dim: int, count: int) -> np.ndarray:
     return np.random.default_rng(7000 + dim).normal(size=(dim, count))
 
 
+_drawn: dict[tuple, np.ndarray] = {}
+
+
+def drawn(make, *args) -> np.ndarray:
+    """A random matrix, drawn once a worker."""
+    if (make, args) not in _drawn:
+        _drawn[make, args] = make(*args)
+    return _drawn[make, args]
+
+
 def plan(rows: int) -> tuple[int, int]:
     """Bits of a bucket key, growing with the logarithm of the rows, and tables that bring MISS."""
     bits = min(max(8, math.ceil(math.log2(max(rows, 2)))), 31)
@@ -52,106 +69,181 @@ def plan(rows: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - same))
 
 
-def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signs (+1, -1) of rotated unit vectors and the factors <code, vector> that correct estimates."""
-    turned = unit @ rotation(unit.shape[1])
-    signs = np.where(turned >= 0, 1.0, -1.0)
-    return signs, np.abs(turned).sum(axis=1) / math.sqrt(unit.shape[1])
+def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated unit vectors, their signs (+1, -1) and the factors <code, vector> that correct estimates."""
+    turned = unit @ drawn(rotation, unit.shape[1])
+    return turned, np.where(turned >= 0, 1.0, -1.0), np.abs(turned).sum(axis=1) / math.sqrt(unit.shape[1])
 
 
-def estimates(signs: np.ndarray, factors: np.ndarray, turned: np.ndarray) -> np.ndarray:
-    """Unbiased cosines [codes, vectors] from codes and rotated vectors."""
-    return (signs @ turned.T) / (math.sqrt(turned.shape[1]) * factors[:, None])
+def rounded(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated vectors as bytes, lows and steps: low + step * byte, rounded up or down at random, unbiased."""
+    low = turned.min(axis=1)
+    step = (turned.max(axis=1) - low) / 255
+    up = np.random.default_rng(500 + turned.shape[1]).random(turned.shape[1])
+    scaled = (turned - low[:, None]) / np.where(step > 0, step, 1.0)[:, None]
+    return np.clip(np.floor(scaled + up), 0, 255).astype(np.uint8), low, step
 
 
-def floors(factors: np.ndarray, dim: int) -> np.ndarray:
-    """The smallest estimate that a pair at the threshold can have, within the confidence bound."""
-    spread = np.sqrt(np.maximum(1 - factors**2, 0)) / factors / math.sqrt(max(dim - 1, 1))
-    return COSINE - math.sqrt(1 - COSINE**2) * CONFIDENCE * spread - 1e-9
+def estimates(dots, sums, factors, lows, steps, dim: int):
+    """Unbiased cosines from the products of signs with bytes, the sums of signs and the stored numbers."""
+    return (lows * sums + steps * dots) / (math.sqrt(dim) * factors)
 
 
-def _keys(bits: int, tables: int):
-    def rows(columns: dict) -> dict:
-        packed, keys = [], []
-        for x in columns["embedding"].to_pylist():
-            v = np.array(x, float)
-            on = (v @ hyperplanes_cached(len(v), bits * tables) > 0).reshape(tables, bits)
-            keys.append(on @ (1 << np.arange(bits, dtype=np.int64)))
-            packed.append(v.astype("<f8").tobytes())
-        return {
-            "cid": columns["cid"], "rep": columns["rep"], "copies": columns["copies"],
-            "label": columns["label"], "dim": columns["dim"], "vector": packed,
-            "keys": [k.tolist() for k in keys],
-        }
+def floors(factors, steps, dim: int):
+    """The smallest estimate that a pair at the threshold can have, within the confidence bound."""
+    spread = np.sqrt(np.maximum(1 - factors**2, 0)) / math.sqrt(max(dim - 1, 1))
+    off = np.hypot(math.sqrt(1 - COSINE**2) * spread, steps / 2) / factors
+    return COSINE - CONFIDENCE * off - 1e-9
 
-    return rows
 
+_CODED = (
+    "cid long, rep long, copies long, label string, dim int, code binary, bytes binary, "
+    "factor double, low double, step double, keys array<int>, vector binary"
+)
 
-_planes: dict[tuple[int, int], np.ndarray] = {}
 
+def _codes(bits: int, tables: int):
+    def rows(columns: dict) -> dict:
+        lists = columns["embedding"]
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        out = {k: [None] * len(sizes) for k in ("code", "bytes", "factor", "low", "step", "keys", "vector")}
+        for dim in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == dim)
+            x = values[starts[at][:, None] + np.arange(dim)]
+            # by a power of two, which changes no cosine
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+            turned, signs, factors = codes(x / np.sqrt((x * x).sum(axis=1))[:, None])
+            whole, low, step = rounded(turned)
+            planes = drawn(hyperplanes, dim, bits * tables)
+            powers = 1 << np.arange(bits, dtype=np.int64)
+            keys = np.stack([(x @ planes[:, t * bits : (t + 1) * bits] > 0) @ powers for t in range(tables)], axis=1)
+            packed = np.packbits(signs > 0, axis=1)
+            for k, r in enumerate(at.tolist()):
+                out["code"][r], out["bytes"][r] = packed[k].tobytes(), whole[k].tobytes()
+                out["factor"][r], out["low"][r], out["step"][r] = factors[k], low[k], step[k]
+                out["keys"][r], out["vector"][r] = keys[k].tolist(), x[k].astype("<f8").tobytes()
+        return {k: columns[k] for k in ("cid", "rep", "copies", "label", "dim")} | out
 
-def hyperplanes_cached(dim: int, count: int) -> np.ndarray:
-    if (dim, count) not in _planes:
-        _planes[dim, count] = hyperplanes(dim, count)
-    return _planes[dim, count]
+    return rows
 
 
-def reach(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id that each row's links reach within a symmetric link matrix."""
+def reach(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Smallest id that each row reaches over the links (i, j)."""
     low = ids.copy()
     while True:
-        new = np.minimum(low, np.where(linked, low[None, :], np.iinfo(np.int64).max).min(axis=1))
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
         if (new == low).all():
             return low
         low = new
 
 
+def _within(group: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows ``at`` of equal group, where rows of a group stand together."""
+    g = group[at]
+    i, d = np.arange(len(at)), 1
+    while True:
+        i = i[i + d < len(at)]
+        i = i[g[i] == g[i + d]]
+        if not len(i):
+            return
+        yield at[i], at[i + d]
+        d += 1
+
+
+def _in_doubt(run: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a cell, in the first table that they share, which their codes can't tell apart."""
+    n = run.num_rows
+    sizes = np.diff(np.append(starts, n))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    size = sizes[group]
+    number = {k: run.column(k).to_numpy() for k in ("dim", "table", "one", "two", "block", "factor", "low", "step")}
+    keys = run.column("keys").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    crossed = number["one"] != number["two"]
+    for dim in np.unique(number["dim"]).tolist():
+        of = np.flatnonzero((number["dim"] == dim) & (size > 1))
+        if not len(of):
+            continue
+        place = np.full(n, -1)
+        place[of] = np.arange(len(of))
+        bits = np.frombuffer(b"".join(run.column("code").take(of).to_pylist()), np.uint8).reshape(len(of), -1)
+        signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
+        whole = np.frombuffer(b"".join(run.column("bytes").take(of).to_pylist()), np.uint8).reshape(len(of), dim).astype(np.float32)
+        sums = signs.sum(axis=1)
+        factor, low, step = (number[k][of] for k in ("factor", "low", "step"))
+
+        def clear(a, b, dots):
+            """Whether the code of a leaves b in doubt; a and b index rows of this dim and broadcast."""
+            guess = estimates(dots, sums[a], factor[a], low[b], step[b], dim)
+            return guess >= floors(factor[a], step[b], dim)
+
+        def told(i, j):
+            keep = ~crossed[i] | (number["block"][i] != number["block"][j])
+            i, j = i[keep], j[keep]
+            earlier = (keys[i] == keys[j]) & (np.arange(keys.shape[1])[None, :] < number["table"][i][:, None])
+            first = ~earlier.any(axis=1)
+            return i[first], j[first]
+
+        part = max(1, STEP // max(dim, keys.shape[1]))
+        for i, j in _within(group, of[size[of] <= SMALL]):
+            for k in range(0, len(i), part):
+                a, b = place[i[k : k + part]], place[j[k : k + part]]
+                a, b = (x[clear(a, b, np.einsum("nd,nd->n", signs[a], whole[b]))] for x in (a, b))
+                a, b = (x[clear(b, a, np.einsum("nd,nd->n", signs[b], whole[a]))] for x in (a, b))
+                yield told(of[a], of[b])
+        for g in np.flatnonzero(sizes > SMALL):
+            if number["dim"][starts[g]] != dim:
+                continue
+            at = place[starts[g]] + np.arange(sizes[g])
+            maybe = clear(at[:, None], at[None, :], signs[at] @ whole[at].T)
+            i, j = np.nonzero(np.triu(maybe & maybe.T, 1))
+            for k in range(0, len(i), part):
+                yield told(of[at[i[k : k + part]]], of[at[j[k : k + part]]])
+
+
+CELL = ["label", "dim", "table", "key", "one", "two"]
+_MEMBER = "label string, dim int, table int, key int, one int, two int, block int, cid long"
+
+
+def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of a cell that have a pair in doubt."""
+    for run, starts in group_runs(batches, CELL):
+        marked = np.zeros(run.num_rows, bool)
+        for i, j in _in_doubt(run, starts):
+            marked[i] = marked[j] = True
+        if marked.any():
+            yield from run.select([*CELL, "block", "cid"]).filter(pa.array(marked)).combine_chunks().to_batches()
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per cell of a bucket: cid, links found there, rep, and the smallest rep its links reach."""
-    out: dict[str, list] = {k: [] for k in ("cid", "links", "rep", "to")}
-    for g in sorted_groups(batches, ["label", "dim", "table", "key", "one", "two"]):
-        n = len(g)
-        if n < 2:
-            continue
-        table, one, two = int(g["table"].iloc[0]), int(g["one"].iloc[0]), int(g["two"].iloc[0])
-        x = np.frombuffer(b"".join(g["vector"]), "<f8").reshape(n, -1)
-        length = np.sqrt((x * x).sum(axis=1))
-        unit = x / length[:, None]
-        dim = x.shape[1]
-        signs, factors = codes(unit)
-        guess = estimates(signs, factors, unit @ rotation(dim))
-        # either side's code may clear a pair of doubt
-        maybe = (guess >= floors(factors, dim)[:, None]) & (guess.T >= floors(factors, dim)[None, :])
-        np.fill_diagonal(maybe, False)
-        if one != two:
-            block = g["block"].to_numpy()
-            maybe &= block[:, None] != block[None, :]
-        if not maybe.any():
+    for run, starts in group_runs(batches, CELL):
+        n = run.num_rows
+        vectors, copies = run.column("vector"), run.column("copies").to_numpy()
+        cid, rep = run.column("cid").to_numpy(), run.column("rep").to_numpy()
+        ends, others = [], []
+        for i, j in _in_doubt(run, starts):
+            if not len(i):
+                continue
+            # rows of one call have one dim
+            rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            x = np.frombuffer(b"".join(vectors.take(rows).to_pylist()), "<f8").reshape(len(rows), -1)
+            length = np.sqrt((x * x).sum(axis=1))
+            a, b = at[: len(i)], at[len(i) :]
+            exact = np.einsum("nd,nd->n", x[a], x[b]) / (length[a] * length[b]) >= COSINE
+            ends.append(i[exact])
+            others.append(j[exact])
+        if not ends:
             continue
-        i, j = np.nonzero(np.triu(maybe))
-        if table:
-            keys = np.stack(g["keys"].to_numpy())[:, :table]
-            first = ~(keys[i] == keys[j]).any(axis=1)
-            i, j = i[first], j[first]
-        exact = (x[i] * x[j]).sum(axis=1) / (length[i] * length[j]) >= COSINE
-        i, j = i[exact], j[exact]
-        if not len(i):
-            continue
-        copies, reps = g["copies"].to_numpy(), g["rep"].to_numpy()
-        links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-        linked = np.zeros((n, n), bool)
-        linked[i, j] = linked[j, i] = True
-        to = reach(linked, reps)
+        i, j = np.concatenate(ends), np.concatenate(others)
+        links = (np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)).astype(np.int64)
+        to = reach(i, j, rep)
         at = np.flatnonzero(links)
-        out["cid"] += g["cid"].to_numpy()[at].tolist()
-        out["links"] += links[at].astype(np.int64).tolist()
-        out["rep"] += reps[at].tolist()
-        out["to"] += to[at].tolist()
-        if len(out["cid"]) >= 4096:
-            yield pa.RecordBatch.from_pydict(out)
-            out = {k: [] for k in out}
-    if out["cid"]:
-        yield pa.RecordBatch.from_pydict(out)
+        if len(at):
+            yield pa.RecordBatch.from_pydict({"cid": cid[at], "links": links[at], "rep": rep[at], "to": to[at]})
 
 
 def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
@@ -178,14 +270,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
         .withColumn("dim", F.size("embedding")),
     )
     bits, tables = plan(classes.count())
-    coded = scratch.write(
-        "coded",
-        map_arrow(
-            classes,
-            _keys(bits, tables),
-            "cid long, rep long, copies long, label string, dim int, vector binary, keys array<long>",
-        ),
-    )
+    coded = scratch.write("coded", map_arrow(classes, _codes(bits, tables), _CODED))
     bucket = ["label", "dim", "table", "key"]
     entries = coded.select("label", "dim", "cid", F.posexplode("keys").alias("table", "key"))
     shared = entries.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -196,13 +281,15 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(*bucket, "cid", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     )
-    cell = [*bucket, "one", "two"]
+
+    def cells(of: DataFrame, *columns: str) -> DataFrame:
+        stored = coded.select("cid", "code", "bytes", "factor", "low", "step", "keys", *columns)
+        return of.join(stored, "cid").repartition(*CELL).sortWithinPartitions(*CELL)
+
+    doubtful = scratch.write("doubtful", cells(members).mapInArrow(_doubtful, _MEMBER))
     found = scratch.write(
         "found",
-        members.join(coded.select("cid", "rep", "copies", "vector", "keys"), "cid")
-        .repartition(*cell)
-        .sortWithinPartitions(*cell)
-        .mapInArrow(_links, "cid long, links long, rep long, to long"),
+        cells(doubtful, "rep", "copies", "vector").mapInArrow(_links, "cid long, links long, rep long, to long"),
     )
     components = connected(scratch, found.select(F.col("rep").alias("u"), F.col("to").alias("v")), "cc")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -325,14 +325,13 @@ def vectors(spark, seed=0, n=400, dim=16):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def test_embedding_links(spark):
+@pytest.mark.parametrize("block", [16, 1024])
+def test_embedding_links(spark, block, monkeypatch):
+    """In blocks of 16, whose cells are compared row against row, and whole, where one has over SMALL rows."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rows, df = vectors(spark)
     good = [(i, np.array(v, float), lab) for i, v, lab in rows if i is not None and lab is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
-    small, embedding_dedup.BLOCK = embedding_dedup.BLOCK, 16
-    try:
-        got = embedding_dedup.near_duplicates(spark, df).collect()
-    finally:
-        embedding_dedup.BLOCK = small
+    got = embedding_dedup.near_duplicates(spark, df).collect()
     n = len(good)
     linked = np.zeros((n, n), bool)
     for a in range(n):
@@ -341,7 +340,7 @@ def test_embedding_links(spark):
             if p == q and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
                 linked[a, b] = linked[b, a] = True
     ids = np.array([i for i, _, _ in good])
-    want = sorted(zip(ids.tolist(), linked.sum(1).tolist(), embedding_dedup.reach(linked, ids).tolist()))
+    want = sorted(zip(ids.tolist(), linked.sum(1).tolist(), embedding_dedup.reach(*np.nonzero(linked), ids).tolist()))
     alone = {1000, 1001, 1002, 1003, 1004, 1006, None}
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got if r["vec_id"] not in alone) == want
     assert all(r["n_links"] == 0 and r["component_id"] == r["vec_id"] for r in got if r["vec_id"] in alone)
@@ -354,11 +353,29 @@ def test_codes_are_unbiased():
     x /= np.linalg.norm(x)
     y = rng.normal(size=(3000, 64))
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    signs, factors = embedding_dedup.codes(y)
-    error = embedding_dedup.estimates(signs, factors, (x @ embedding_dedup.rotation(64))[None, :])[:, 0] - y @ x
+    _, signs, factors = embedding_dedup.codes(y)
+    turned, _, _ = embedding_dedup.codes(x[None, :])
+    whole, low, step = embedding_dedup.rounded(turned)
+    assert (np.abs(low[:, None] + step[:, None] * whole - turned) <= step[:, None] * (1 + 1e-9)).all()
+    error = embedding_dedup.estimates(signs @ whole[0].astype(float), signs.sum(axis=1), factors, low, step, 64) - y @ x
     assert abs(error.mean()) < 0.01 and 0.05 < error.std() < 0.15
 
 
+def test_bound_holds_at_the_threshold():
+    """Pairs of cosine 0.98 are left in doubt by both codes; pairs of 0.7 hardly ever."""
+    rng = np.random.default_rng(6)
+    x, z = rng.normal(size=(2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    _, signs, factors = embedding_dedup.codes(x)
+    for cosine, least, most in ((0.98, 1.0, 1.0), (0.7, 0.0, 0.03)):
+        turned, _, _ = embedding_dedup.codes(cosine * x + np.sqrt(1 - cosine**2) * z)
+        whole, low, step = embedding_dedup.rounded(turned)
+        guess = embedding_dedup.estimates((signs * whole).sum(axis=1), signs.sum(axis=1), factors, low, step, 64)
+        assert least <= (guess >= embedding_dedup.floors(factors, step, 64)).mean() <= most
+
+
 def test_neighbours(spark):
     rows, df = vectors(spark, 3)
     got = {}
