@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -16,17 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_machine(master: str) -> bool:
+    """Whether driver and executor are one process, as in tests and on a notebook."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+@cache
+def own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 class Scratch:
     """Parquet tables in the folder that ``spark.checkpoint.dir`` names (all executors share it).
 
     Writing an intermediate result there cuts its lineage: a lost executor costs only the tasks
-    it ran, and later jobs reread files instead of recomputing.  Without the setting there is no folder
-    that all machines share, so it is an error; tests set one.
+    it ran, and later jobs reread files instead of recomputing.  Where the setting is missing, a local
+    session, whose only machine is this one, gets a folder of its own; on a cluster there is no folder that
+    all machines share, so it is an error.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and one_machine(spark.sparkContext.master):
+            root = own_folder()
         if not root:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

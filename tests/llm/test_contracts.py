@@ -96,12 +96,15 @@ def test_keep_one_loses_no_text(spark):
     assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[1], rows[4], rows[5]], key=str)
 
 
-def test_shared_folder_needed(spark):
-    class Bare:
+def test_shared_folder_needed():
+    def bare(master):
         conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        return type("S", (), {"conf": conf, "sparkContext": type("X", (), {"master": master})})
 
-    with pytest.raises(ValueError):
-        Scratch(Bare, "x")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            Scratch(bare(master), "x")
+    assert Scratch(bare("local[8]"), "x").root.rsplit("/", 1)[0] == Scratch(bare("local"), "y").root.rsplit("/", 1)[0]
 
 
 @pytest.mark.parametrize("n", [65, 5000])
