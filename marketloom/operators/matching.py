@@ -9,36 +9,113 @@ from .. import lexicon as L
 from ..functions.price import half_up
 
 
-def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: float, *, on: list[str] | None = None,
-                left_id: str = "id", right_id: str = "id") -> DataFrame:
-    """(left_id, right_id, similarity) of pairs with Jaccard similarity of at least ``least``.
+def token_sets(items: DataFrame, tokens: str, on: list[str], key: str = "id") -> DataFrame:
+    """(on, set, key): each item with its distinct tokens in alphabetic order, which items of equal tokens share."""
+    return items.select(*on, F.array_sort(F.array_distinct(tokens)).alias("set"), key)
+
+
+def set_pairs(left: DataFrame, right: DataFrame, least: float, on: list[str]) -> DataFrame:
+    """(on, l_set, r_set, similarity) of pairs of distinct token sets with Jaccard similarity of at least ``least``.
 
     Prefix filtering: tokens are ordered from rare to common, and two sets that are similar enough must
     share one of their first ``n - ceil(least * n) + 1`` tokens.  Only those are joined on, so common
-    tokens, which skew a join, seldom stand in it.  Sizes are compared before the sets are.
+    tokens, which skew a join, seldom stand in it.  A pair that meets at several tokens is kept at the
+    first one that it shares in that order, so no pair has to be deduplicated.  Sizes are compared first.
+    Equal sets are a pair of similarity 1; empty sets meet nothing.
     """
-    on = on or []
-    both = left.select(F.explode(tokens).alias("token")).union(right.select(F.explode(tokens).alias("token")))
-    counts = both.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    left, right = (df.select(*on, "set").distinct() for df in (left, right))
+    each = left.union(right).select(F.explode("set").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
-    def prefixed(df: DataFrame, side: str, key: str) -> DataFrame:
-        base = df.select(*on, F.col(key).alias(f"{side}_id"), F.array_distinct(tokens).alias(f"{side}_set"))
+    def prefixed(df: DataFrame, side: str) -> DataFrame:
         ranked = (
-            base.select(f"{side}_id", F.explode(f"{side}_set").alias("token"))
+            df.select(*on, "set", F.explode("set").alias("token"))
             .join(counts, "token")
-            .groupBy(f"{side}_id")
+            .groupBy(*on, F.col("set").alias(f"{side}_set"))
             .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_rarity"))
         )
         n = F.size("by_rarity")
         first = F.slice("by_rarity", F.lit(1), n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1)
-        return base.join(ranked, f"{side}_id").select(*on, f"{side}_id", f"{side}_set", F.explode(first["token"]).alias("token"))
+        ordered = F.col("by_rarity")["token"].alias(f"{side}_ordered")
+        return ranked.select(*on, f"{side}_set", ordered, F.explode(first["token"]).alias("token"))
 
-    a, b = prefixed(left, "l", left_id), prefixed(right, "r", right_id)
     sizes = (F.size("l_set") >= least * F.size("r_set") - 1e-9) & (F.size("r_set") >= least * F.size("l_set") - 1e-9)
-    met = a.join(b, [*on, "token"]).where(sizes).drop("token").dropDuplicates(["l_id", "r_id"])
-    shared = F.size(F.array_intersect("l_set", "r_set"))
-    similarity = shared / (F.size("l_set") + F.size("r_set") - shared)
-    return met.select("l_id", "r_id", similarity.alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+    met = prefixed(left, "l").join(prefixed(right, "r"), [*on, "token"]).where(sizes)
+    met = met.withColumn("shared", F.array_intersect("l_ordered", "r_ordered")).where(F.get("shared", F.lit(0)) == F.col("token"))
+    similarity = F.size("shared") / (F.size("l_set") + F.size("r_set") - F.size("shared"))
+    return met.select(*on, "l_set", "r_set", similarity.alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+
+
+def token_pairs(left: DataFrame, right: DataFrame, tokens: str, least: float, *, on: list[str] | None = None,
+                left_id: str = "id", right_id: str = "id") -> DataFrame:
+    """(l_id, r_id, similarity) of items whose token sets are similar; see ``set_pairs``, which compares each set once."""
+    on = on or []
+    a, b = token_sets(left, tokens, on, left_id), token_sets(right, tokens, on, right_id)
+    spread = set_pairs(a, b, least, on)
+    for df, side, key in ((a, "l", left_id), (b, "r", right_id)):
+        ids = df.select(*on, F.col("set").alias(f"{side}_set"), F.col(key).alias(f"{side}_id"))
+        spread = spread.join(ids, [*on, f"{side}_set"])
+    return spread.select("l_id", "r_id", "similarity")
+
+
+def nearest_by_tokens(items: DataFrame, tokens: str, least: float, *, on: list[str], key: str = "id") -> DataFrame:
+    """(key, donor, similarity): the most similar other item, ties to the smaller key; items without one are left out.
+
+    Items of equal tokens are told by the two smallest keys of their set, others by the best set: no pair of
+    items is made.
+    """
+    sets = token_sets(items, tokens, on, key)
+    least_key = sets.groupBy(*on, "set").agg(F.min(key).alias("low"))
+    members = sets.join(least_key, [*on, "set"])
+    second = members.groupBy(*on, "set").agg(F.min(F.when(F.col(key) != F.col("low"), F.col(key))).alias("next"))
+    away = (
+        set_pairs(sets, sets, least, on)
+        .where("l_set <> r_set")
+        .join(least_key.withColumnRenamed("set", "r_set"), [*on, "r_set"])
+        .groupBy(*on, F.col("l_set").alias("set"))
+        .agg(F.min(F.struct((-F.col("similarity")).alias("far"), F.col("low").alias("donor"))).alias("best"))
+    )
+    found = members.join(second, [*on, "set"]).join(away, [*on, "set"], "left")
+    same = F.when(F.col(key) == F.col("low"), F.col("next")).otherwise(F.col("low"))
+    # a set without tokens is like nothing
+    same = F.when(F.size("set") > 0, same)
+    return found.select(
+        key,
+        F.coalesce(same, F.col("best.donor")).alias("donor"),
+        F.when(same.isNotNull(), 1.0).otherwise(-F.col("best.far")).alias("similarity"),
+    ).where("donor is not null")
+
+
+def reached(items: DataFrame, offers: DataFrame, tokens: str, least: float, *, on: list[str], counted: list[str],
+            key: str = "id") -> DataFrame:
+    """(key, one count for each of ``counted``): distinct values that the other similar items' offers hold.
+
+    ``offers(key, counted...)``.  Values are gathered by token set, not by pair of items: a value that only
+    the item itself brings to its set, and no other set brings, is taken off that item's count.
+    Items whose similar items have no offer are left out.
+    """
+    sets = token_sets(items, tokens, on, key)
+    pairs = set_pairs(sets, sets, least, on).drop("similarity")
+    held = sets.join(offers, key)
+    out, counts = sets.where(F.size("set") > 0), []
+    for c in counted:
+        by_set = (
+            held.where(F.col(c).isNotNull())
+            .groupBy(*on, F.col("set").alias("r_set"), c)
+            .agg(F.min(key).alias("low"), F.max(key).alias("high"))
+        )
+        own = F.col("l_set") == F.col("r_set")
+        values = (
+            pairs.join(by_set, [*on, "r_set"])
+            .groupBy(*on, F.col("l_set").alias("set"), c)
+            .agg(F.bool_or(~own | (F.col("low") != F.col("high"))).alias("by_others"), F.min("low").alias("low"))
+            .select(*on, "set", F.when(~F.col("by_others"), F.col("low")).alias("only"))
+        )
+        total = values.groupBy(*on, "set").agg(F.count(F.lit(1)).alias(f"_{c}_all"))
+        alone = values.where("only is not null").groupBy(F.col("only").alias(key)).agg(F.count(F.lit(1)).alias(f"_{c}_own"))
+        out = out.join(total, [*on, "set"], "left").join(alone, key, "left")
+        counts.append((F.coalesce(f"_{c}_all", F.lit(0)) - F.coalesce(f"_{c}_own", F.lit(0))).alias(c))
+    return out.select(key, *counts).where(F.greatest(*map(F.col, counted), F.lit(0)) > 0)
 
 
 def code_donors(items: DataFrame, code: str, sections: list[str], *, key: str = "id") -> DataFrame:

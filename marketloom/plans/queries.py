@@ -354,22 +354,18 @@ def names(spark, d):
  FROM names a JOIN names b ON a.p_brand = b.p_brand AND a.id <> b.id)
 SELECT id, donor, round(i / CAST(s - i AS DOUBLE), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i / CAST(s - i AS DOUBLE) DESC, donor) AS n FROM p WHERE i / CAST(s - i AS DOUBLE) >= 0.6) WHERE n = 1""")
 def jaccard_borrow(spark, d):
-    items = names(spark, d)
-    pairs = M.token_pairs(items, items, "tokens", 0.6, on=["p_brand"]).where("l_id <> r_id")
-    best = R.top_per_group(pairs, ["l_id"], [F.desc("similarity"), F.col("r_id")], 1)
-    return best.select(F.col("l_id").alias("id"), F.col("r_id").alias("donor"), F.round("similarity", 6).alias("similarity"))
+    best = M.nearest_by_tokens(names(spark, d), "tokens", 0.6, on=["p_brand"])
+    return best.select("id", "donor", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH {_NAMES}, p AS (SELECT a.id AS id, b.id AS other FROM names a JOIN names b ON a.p_brand = b.p_brand AND a.id <> b.id
  WHERE len(list_intersect(a.tokens, b.tokens)) / CAST(len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens)) AS DOUBLE) >= 0.5)
 SELECT p.id AS id, count(DISTINCT s_nationkey) AS countries, count(DISTINCT s_suppkey) AS retailers FROM p JOIN lineitem ON l_partkey = other JOIN supplier ON l_suppkey = s_suppkey GROUP BY p.id""")
 def breadth_self_join(spark, d):
-    items = names(spark, d)
-    pairs = M.token_pairs(items, items, "tokens", 0.5, on=["p_brand"]).where("l_id <> r_id")
-    sold = table(spark, d, "lineitem").select(F.col("l_partkey").alias("r_id"), F.col("l_suppkey").alias("s_suppkey")).distinct()
-    shops = sold.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
-    return pairs.join(shops, "r_id").groupBy(F.col("l_id").alias("id")).agg(
-        F.count_distinct("s_nationkey").alias("countries"), F.count_distinct("s_suppkey").alias("retailers")
+    sold = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("retailers")).distinct()
+    shops = table(spark, d, "supplier").select(F.col("s_suppkey").alias("retailers"), F.col("s_nationkey").alias("countries"))
+    return M.reached(
+        names(spark, d), sold.join(shops, "retailers"), "tokens", 0.5, on=["p_brand"], counted=["countries", "retailers"]
     )
 
 
