@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import ann, byte_bpe, embedding_dedup, language_id, pii, quality, token_rollup, url_filter
+from . import ann, bin_packing, byte_bpe, embedding_dedup, language_id, periodic_runs, pii, quality, target_resampling, token_rollup, url_filter
 from .minhash_dedup import near_duplicates
 from .packing import pack
 
@@ -48,6 +48,18 @@ def op10_ann(spark, sf_dir):
     return ann.neighbours(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op11_bin_packing(spark, sf_dir):
+    return bin_packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.report(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark, sf_dir):
+    return target_resampling.draw(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
     "op2_pii": op2_pii,
@@ -59,5 +71,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_ann": op10_ann,
+    "op11_bin_packing": op11_bin_packing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_target_resampling": op13_target_resampling,
 }
-ORACLE: dict[str, str] = {"op1_token_rollup": token_rollup.ORACLE}
+ORACLE: dict[str, str] = {"op1_token_rollup": token_rollup.ORACLE, "op13_target_resampling": target_resampling.ORACLE}
