@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-PRODUCT = "page_id long, pos int, title string, url string, image string, brand string, price double, currency string, rating double, reviews long, gtin string"
+from .markup import absolute, tidy
+
+PRODUCT = (
+    "page_id long, pos int, title string, url string, image string, brand string, description string, price double, currency string, "
+    "availability string, rating double, reviews long, gtin string, sku string, origin string"
+)
 # Keys under which JSON-LD nests more objects.
 NESTS = ("@graph", "itemListElement", "item", "mainEntity")
 
@@ -83,39 +87,74 @@ def _number(value):
     return n if n > 0 else None
 
 
+def ld_values(texts: Iterable[str]) -> Iterator[dict]:
+    """Objects in JSON-LD texts and nested in them; trailing commas and raw control characters are forgiven."""
+    for text in texts:
+        text = text.strip().rstrip(";")
+        try:
+            data = json.loads(text, strict=False)
+        except ValueError:
+            try:
+                data = json.loads(re.sub("[\x00-\x1f]+", " ", re.sub(r",\s*([}\]])", r"\1", text)))
+            except ValueError:
+                continue
+        yield from _walk(data)
+
+
+def is_kind(o: dict, kind: str) -> bool:
+    kinds = o.get("@type")
+    return any(str(k).lower() == kind for k in (kinds if isinstance(kinds, list) else [kinds]))
+
+
+def _list(value) -> list:
+    return value if isinstance(value, list) else [] if value is None else [value]
+
+
+def _amount(value) -> float | None:
+    """A price's digits and dots as a number; 0 counts as none."""
+    try:
+        return float(re.sub("[^0-9.]", "", str(value))) or None
+    except ValueError:
+        return None
+
+
+def _of(value, *names: str):
+    return next((value[n] for n in names if value.get(n) not in (None, "")), None) if isinstance(value, dict) else None
+
+
+def ld_product(o: dict, base: str | None) -> dict:
+    """The row of a named Product object; the first offer with a price tells it, offers may be nested in one."""
+    offers = [x for offer in _list(o.get("offers")) for x in (_list(offer["offers"]) if isinstance(offer, dict) and offer.get("offers") else [offer])]
+    offers = [x for x in offers if isinstance(x, dict)]
+    offer = next((x for x in offers if x.get("price") or x.get("lowPrice")), offers[0] if offers else {})
+    terms = _first_object(offer.get("priceSpecification"))
+    rating = o.get("aggregateRating")
+    currency, stock = _of(offer, "priceCurrency") or _of(terms, "priceCurrency"), _of(offer, "availability")
+    reviews = _number(_of(rating, "reviewCount") or _of(rating, "ratingCount"))
+    image = _first_object(o.get("image"))
+    image = _of(image, "url", "contentUrl") if isinstance(image, dict) else image
+    return {
+        "title": tidy(_first(o.get("name"))), "url": absolute(_first(o.get("url")) or _first(o.get("@id")) or _first(offer.get("url")), base),
+        "image": absolute(_first(image), base), "brand": tidy(_first(o.get("brand"))) or None, "description": tidy(_first(o.get("description"))) or None,
+        "price": _amount(_of(offer, "price", "lowPrice") or _of(terms, "price")), "currency": str(currency).upper() if currency else None,
+        "availability": str(stock).split("/")[-1] if stock else None, "rating": _number(_of(rating, "ratingValue")),
+        "reviews": int(reviews) if reviews else None,
+        "gtin": next((_first(o[k]) for k in ("gtin13", "gtin", "gtin8", "gtin12", "gtin14") if o.get(k)), None),
+        "sku": _first(o.get("sku")), "origin": tidy(_first(o.get("countryOfOrigin"))) or None,
+    }
+
+
+def _first_object(value):
+    while isinstance(value, list):
+        value = value[0] if value else None
+    return value
+
+
 def ld_products(html: str | None, base: str | None) -> list[dict]:
     """All named Product objects of a page's JSON-LD."""
     head = Head()
     head.feed(html or "")
-    out = []
-    for text in head.ld:
-        try:
-            data = json.loads(text.strip().rstrip(";"), strict=False)
-        except ValueError:
-            continue
-        for o in _walk(data):
-            kinds = o.get("@type")
-            kinds = kinds if isinstance(kinds, list) else [kinds]
-            if not any(str(k).lower() == "product" for k in kinds) or not _first(o.get("name")):
-                continue
-            offers = o.get("offers")
-            offer = next((x for x in _walk(offers)), {}) if offers else {}
-            rating = o.get("aggregateRating") or {}
-            url = _first(o.get("url")) or _first(offer.get("url"))
-            out.append(
-                {
-                    "title": re.sub(r"\s+", " ", _first(o.get("name"))).strip(),
-                    "url": urljoin(base or "", url) if url else None,
-                    "image": _first(o.get("image")),
-                    "brand": _first(o.get("brand")),
-                    "price": _number(offer.get("price") or offer.get("lowPrice")),
-                    "currency": _first(offer.get("priceCurrency")),
-                    "rating": _number(rating.get("ratingValue")) if isinstance(rating, dict) else None,
-                    "reviews": int(_number(rating.get("reviewCount") or rating.get("ratingCount")) or 0) or None if isinstance(rating, dict) else None,
-                    "gtin": next((_first(o[k]) for k in ("gtin13", "gtin", "gtin14", "gtin12", "gtin8") if o.get(k)), None),
-                }
-            )
-    return out
+    return [ld_product(o, base) for o in ld_values(head.ld) if is_kind(o, "product") and _first(o.get("name"))]
 
 
 def products(pages: DataFrame) -> DataFrame:
