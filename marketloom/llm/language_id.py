@@ -59,13 +59,12 @@ def learn(spark: SparkSession, docs: DataFrame) -> dict[str, bytes]:
         .select("lang", "doc_id", "place")
     )
     # at most SAMPLE_DOCUMENTS rows of a language
-    rows = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "place", "text")
-    # texts over the dictionary's size would only be cut: they add nothing that fits
-    rows = rows.where(F.octet_length("text") <= DICTIONARY_BYTES).collect()
+    # what lies beyond a dictionary's size could not be used, so long texts give their first part to it
+    rows = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "place", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).collect()
     out: dict[str, bytes] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["place"], r["text"])):
         have = out.get(row["lang"], b"")
-        text = folded(row["text"]) + b"\n"
+        text = folded(row["text"])[: DICTIONARY_BYTES - 1] + b"\n"
         if len(have) + len(text) <= DICTIONARY_BYTES:
             out[row["lang"]] = have + text
         else:
