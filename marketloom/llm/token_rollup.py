@@ -85,8 +85,12 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         base, held = self._base()
+        return self._sum(base, [b for b in self._list("batch") if b not in held])
+
+    def _sum(self, base: str | None, batches: list[str]) -> DataFrame:
+        """Totals of a base and of batches that it does not hold."""
         paths = [f"{self.path}/base/{base}"] if base else []
-        paths += [f"{self.path}/batch/{b}" for b in self._list("batch") if b not in held]
+        paths += [f"{self.path}/batch/{b}" for b in batches]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         return (
@@ -100,11 +104,12 @@ class Rollup:
     def compact(self) -> None:
         """Fold all committed batches into a base; readers see the old files until it is complete."""
         base, held = self._base()
-        batches = self._list("batch")
-        if set(batches) - held:
+        # listed once: a batch that is committed from here on is in neither the members nor the sums of the new base
+        new = [b for b in self._list("batch") if b not in held]
+        if new:
             name = f"{int(base or 0) + 1:08d}"
-            self.spark.createDataFrame([(b,) for b in batches], "id string").write.mode("overwrite").parquet(f"{self.path}/members/{name}")
-            self.totals().write.mode("overwrite").parquet(f"{self.path}/base/{name}")
+            self.spark.createDataFrame([(b,) for b in sorted(held | set(new))], "id string").write.mode("overwrite").parquet(f"{self.path}/members/{name}")
+            self._sum(base, new).write.mode("overwrite").parquet(f"{self.path}/base/{name}")
 
 
 # Tokenizer versions by the pattern of one token; both dialects of SQL read them alike.
