@@ -40,14 +40,16 @@ EXTRA = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)+")),
     ("secret", re.compile(r"\b(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,}+")),
     # a quoted value ends at its quote, any other at white space or a quote
-    ("secret", re.compile(r"""\b(?:password|passwd|secret|token|api_key)["']?\s*+[=:]\s*+(?:"[^"\r\n]{6,}+"|'[^'\r\n]{6,}+'|["']?[^\s"']{6,}+)""", re.I)),
+    # the keyword may end a longer name, as in access_token
+    ("secret", re.compile(r"""(?<![A-Za-z])(?:password|passwd|secret|token|api_key)["']?\s*+[=:]\s*+(?:"[^"\r\n]{6,}+"|'[^'\r\n]{6,}+'|["']?[^\s"']{6,}+)""", re.I)),
+    ("secret", re.compile(r"\bBearer\s++[A-Za-z0-9._~+/=-]{16,}+", re.I)),
     ("secret", re.compile(r"\b[0-9A-Fa-f]{32,}+\b")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     # 15 to 34 signs in groups of four, the last of one to four
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})\b")),
 )
 # Gazetteers.
-PREFIXES = ("akia", "asia", "ghp_", "sk-", "xox", "password", "passwd", "secret", "token", "api_key")
+PREFIXES = ("akia", "asia", "ghp_", "sk-", "xox", "password", "passwd", "secret", "token", "api_key", "bearer")
 MAIL_WORDS = ("mail", "example", "inbox", "post", "com", "net", "org")
 COUNTRIES = ("DE", "FR", "ES", "GB", "IT", "NL", "BE", "AT", "CH", "PL")
 CONTEXT = (
@@ -167,7 +169,9 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             continue
         if rule == 2 and "=" not in text and ":" not in text:
             continue
-        if rule >= 3 and not any(map(text.__contains__, "0123456789")):
+        if rule == 3 and "bearer" not in low:
+            continue
+        if rule > 3 and not any(map(text.__contains__, "0123456789")):
             continue
         fresh = []  # matches of one pattern do not overlap each other
         for m in pattern.finditer(text):

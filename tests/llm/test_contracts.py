@@ -121,3 +121,60 @@ def test_long_secrets(spark, n):
 def test_many_candidates_are_linear():
     text = " ".join(f"{i % 900 + 100}-45-{i % 9000 + 1000}" for i in range(60_000))
     assert len(pii.candidates(text, pii.base_spans(text))) == 60_000
+
+
+SPACES = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2003\u2009\u2028\u2029\u202f\u205f\u3000"
+
+
+def test_bpe_long_runs_of_mixed_white_space(spark):
+    own = []
+    for s in SPACES:
+        for other in " \n":
+            own += ["x" + (s + other) * n + "y" for n in (40, 90, 128, 150)]
+            own += ["x" + (s + " ") * 70 + other]
+    rng = random.Random(8)
+    signs = SPACES + "aé日😀1.-'_" + chr(0x200B)
+    own += ["".join(rng.choices(signs, k=rng.randint(200, 400))) for _ in range(60)]
+    own += ["".join(rng.choices(SPACES, k=rng.randint(80, 300))) for _ in range(60)]
+    rows = dict(enumerate(own))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    for r in byte_bpe.encode_decode(spark, df).collect():
+        ids = encoding().encode_ordinary(rows[r[0]])
+        want = (len(ids), digest(",".join(map(str, ids)).encode()), digest(rows[r[0]].encode()))
+        assert tuple(r)[1:] == want, (r[0], rows[r[0]][:20])
+
+
+def test_language_of_long_documents_is_learnt(spark):
+    from marketloom.llm import language_id
+
+    french = "Le chat noir dort sur la vieille chaise près de la fenêtre ouverte du salon. "
+    english = "The black cat sleeps on the old chair near the open window of the room. "
+    rows = [(i, french * 3500, "fr") for i in range(6)] + [(i, english * 3, "en") for i in range(6, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = language_id.learn(spark, docs)
+    assert sorted(learnt) == ["en", "fr"] and all(len(v) <= language_id.DICTIONARY_BYTES for v in learnt.values())
+
+
+def test_rollup_batch_between_list_and_sum(spark, monkeypatch):
+    scratch = Scratch(spark, "race")
+    rollup = token_rollup.Rollup(spark, scratch.path("t"))
+
+    def change(n):
+        return spark.createDataFrame([("insert", "s", "en", "v", None, n)], "op string, source string, lang string, tokenizer string, n_before long, n_after long")
+
+    rollup.commit("0001", change(10))
+    listing = rollup._list
+    state = {"calls": 0}
+
+    def slow(kind):
+        names = listing(kind)
+        if kind == "batch" and not state["calls"]:
+            state["calls"] = 1
+            rollup.commit("0002", change(100))
+        return names
+
+    monkeypatch.setattr(rollup, "_list", slow)
+    rollup.compact()
+    assert [r.n_tokens for r in rollup.totals().collect()] == [110]
+    rollup.compact()
+    assert [r.n_tokens for r in rollup.totals().collect()] == [110]
