@@ -14,6 +14,7 @@ from ..functions import brands as B
 from ..functions import phrases
 from ..functions import price as P
 from ..functions import text as T
+from .brand_search import names_in_texts
 from .matching import import_class, match_score
 
 #: A listing from this score on is a match, from the second on a strong one; the best of a product are kept.
@@ -116,6 +117,120 @@ def matches(products: DataFrame, listings: DataFrame) -> DataFrame:
     return best.select("id", "listing", "score", "rank", "chain", "official", "hand_carried", "price_vnd", "sold", "importer")
 
 
+#: A size that fits adds so much to a score, so candidates need that much less by words or concepts.
+SIZE_BONUS = 0.1
+#: Words are compared from this many signs on by their beginnings.
+STEM = 4
+
+
+def pool(*parts: DataFrame) -> DataFrame:
+    """Listings of several searches, the first of each address; an address counts without query, fragment and last slash.
+
+    A listing without an address is known by its own id, in ``listing``.
+    """
+    key = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("listing").cast("string")), "[?#].*$", ""), "/$", ""))
+    numbered = [p.withColumn("__part", F.lit(i)) for i, p in enumerate(parts)]
+    union = numbered[0]
+    for p in numbered[1:]:
+        union = union.unionByName(p)
+    row = F.struct(*(c for c in union.columns if c != "__part"))
+    first = union.groupBy(key.alias("__key")).agg(F.min_by(row, F.struct("__part", "listing")).alias("row"))
+    return first.select("row.*")
+
+
+def brands_of_listings(brands: DataFrame, listings: DataFrame) -> DataFrame:
+    """(listing, run): which of brands(run), squashed, stand anywhere in a listing's squashed brand and title."""
+    both = T.squash(F.concat_ws(" ", "brand", "title"))
+    texts = listings.select(F.col("listing").alias("id"), both.alias("text"))
+    found = names_in_texts(brands.where(F.length("run") >= 3).select(F.col("run").alias("name")), texts)
+    return found.select(F.col("id").alias("listing"), F.col("name").alias("run"))
+
+
+def _stem(word: Column) -> Column:
+    """Words that count as equal share this: the first signs of long ones, short ones whole."""
+    return F.substring(word, 1, STEM)
+
+
+def _needed(words: Column, share: float) -> Column:
+    """The first of words that are in order of rarity: a listing that holds ``share`` of all holds one of these."""
+    words = F.coalesce(words, F.array().cast("array<string>"))
+    n = F.size(words)
+    return F.slice(words, F.lit(1), F.when(n > 0, n - F.ceil(share * n - 1e-9).cast("int") + 1).otherwise(0))
+
+
+def _by_rarity(rows: DataFrame, words: str, counts: DataFrame) -> DataFrame:
+    """(id, ordered): words of each row, those whose stems fewest listings hold first."""
+    each = rows.select("id", F.explode(words).alias("word")).withColumn("stem", _stem(F.col("word")))
+    ranked = each.join(counts, "stem", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("o"))
+    return ranked.select("id", F.col("o.word").alias(f"{words}_ordered"))
+
+
+def pool_matches(products: DataFrame, listings: DataFrame) -> DataFrame:
+    """As ``matches``, for products with and without a brand, brands inside longer words, and translated titles.
+
+    products(id, title, brand, gtin) may have ``title_home``, the title in the listings' language.  ids and listings
+    tell rows apart.  Pairs are compared if they can reach LEAST: by equal barcodes, or, with the product's brand in the
+    listing or without a brand, by one of the product's rarest words (as many as the score's bound asks for) or by a
+    concept; a product known by its brand alone meets all listings of that brand.  Keys are single brands with
+    single words, so a large brand is split by its words.  A product of which nothing is known meets by barcode only.
+    """
+    least = LEAST - SIZE_BONUS
+    home = F.col("title_home") if "title_home" in products.columns else F.lit(None).cast("string")
+    extra = products.select("id", home.alias("title_home"))
+    known = identities(products).join(extra, "id").withColumn("home", F.when(F.col("title_home").isNotNull(), distinctive(F.col("title_home"), F.col("brand"))).otherwise(F.array().cast("array<string>"))).drop("title_home")
+    right = listings.select(
+        F.col("listing"), F.col("title").alias("l_title"), F.col("brand").alias("l_brand"), P.gtin(F.col("gtin")).alias("l_code"),
+        P.parse_quantity(F.col("title"))["total"].alias("l_size"), name_words(F.col("title")).alias("l_words"),
+        phrases.concepts(F.col("title")).alias("l_concepts"), chain(F.col("source"), F.col("seller"), F.col("domain")).alias("chain"),
+        official(F.col("seller")).alias("official"), hand_carried(F.col("title")).alias("hand_carried"), "price_vnd", "sold", "importer",
+    )
+    named = F.coalesce(F.col("brand"), F.lit("")) != ""
+    known = known.withColumn("run", F.when(named, T.squash(F.col("brand"))))
+    stems = right.select(F.explode(F.array_distinct(F.transform("l_words", _stem))).alias("stem"))
+    counts = stems.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
+    for words in ("words", "home"):
+        known = known.join(_by_rarity(known, words, counts), "id", "left")
+    only_brand = (F.size("words") == 0) & (F.size("concepts") == 0)
+
+    def labelled(kind: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.concat(F.lit(kind), v))
+
+    by_words = F.array_union(_needed(F.col("words_ordered"), least), _needed(F.col("home_ordered"), least / 0.9))
+    asked = F.array_union(labelled("w:", F.transform(by_words, _stem)), labelled("k:", F.col("concepts")))
+    asked = F.when(only_brand, F.when(named, F.array(F.lit("b:"))).otherwise(F.array().cast("array<string>"))).otherwise(asked)
+    of_brand = F.when(~named | (F.length("run") >= 3), F.transform(asked, lambda a: F.concat(F.coalesce("run", F.lit("")), F.lit("|"), a)))
+    codes = F.array_compact(F.array(F.concat(F.lit("c:"), "code")))
+    left = known.select("id", F.explode(F.array_distinct(F.concat(codes, F.coalesce(of_brand, F.array().cast("array<string>"))))).alias("key"))
+
+    brands = known.where(F.length("run") >= 3).select("run").distinct()
+    held = brands_of_listings(brands, listings).groupBy("listing").agg(F.collect_list("run").alias("runs"))
+    told = F.array_union(labelled("w:", F.array_distinct(F.transform("l_words", _stem))), labelled("k:", F.col("l_concepts")))
+    runs = F.array_union(F.array(F.lit("")), F.coalesce("runs", F.array().cast("array<string>")))
+    offered = F.flatten(F.transform(runs, lambda r: F.transform(F.array_union(told, F.array(F.lit("b:"))), lambda t: F.concat(r, F.lit("|"), t))))
+    l_codes = F.array_compact(F.array(F.concat(F.lit("c:"), "l_code")))
+    entries = right.join(held, "listing", "left").select("listing", F.explode(F.concat(l_codes, offered)).alias("key"))
+    pairs = entries.join(left.select("key").distinct(), "key", "left_semi").join(left, "key").select("id", "listing").distinct()
+
+    same_code = F.coalesce(F.col("code") == F.col("l_code"), F.lit(False))
+    concept = phrases.concept_score(F.col("concepts"), F.col("l_concepts"))
+    bare = (F.size("words") == 0) & concept.isNull()
+    score = match_score(
+        same_code, F.lit(True), concept, containment(F.col("words"), F.col("l_words")),
+        F.when(~bare, containment(F.col("home"), F.col("l_words"))), bare, F.col("size"), F.col("l_size"),
+    )
+    scored = pairs.join(right, "listing").join(known, "id").withColumn("score", score).where(F.col("score") >= LEAST)
+    order = Window.partitionBy("id").orderBy(F.desc("score"), "listing")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= BEST)
+    return best.select("id", "listing", "score", "rank", "chain", "official", "hand_carried", "price_vnd", "sold", "importer")
+
+
+def brand_hits(products: DataFrame, listings: DataFrame) -> DataFrame:
+    """(id, brand_listings): how many listings hold a product's brand anywhere; counted once a brand, then joined."""
+    brands = products.select("id", T.squash(F.coalesce("brand", B.guess_brand(F.col("title")))).alias("run")).where(F.length("run") >= 3)
+    counts = brands_of_listings(brands, listings).groupBy("run").agg(F.count(F.lit(1)).alias("brand_listings"))
+    return brands.join(counts, "run").select("id", "brand_listings")
+
+
 def evidence(products: DataFrame, matched: DataFrame, brand_hits: DataFrame) -> DataFrame:
     """One row a product: counts, prices, chains and importers of its matches, its class and the reasons.
 
