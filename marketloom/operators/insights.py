@@ -4,40 +4,95 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.price import nice_step
 
 
+#: Values of one sign within about 0.4 % of each other share a bucket; all finite doubles give fewer than 800,000.
+_BUCKETS_PER_E, _BUCKET_ZERO = 256, 200_000
+
+
+def _bucket(v: Column) -> Column:
+    """A number that never falls where v grows, told by v alone."""
+    size = F.floor(F.log(F.abs(v)) * _BUCKETS_PER_E).cast("long") + _BUCKET_ZERO
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
+    """keys, n (values that are not null) and exact linear quantiles q0, q1, ... by key, as doubles; no keys: one row.
+
+    Values are counted first, map-side, so a hot key moves its distinct values.  Ranks are told in two steps: a running
+    count within a bucket of neighbouring values, which deals a hot key's values to many tasks in their order, and the
+    counts of the buckets below.  The two values around (n - 1) p then are maxima.  No task holds a key's values.
+    Null keys are a group; null values don't count, so a key without values is missing.
+    """
+    names = list(keys) or ["__all"]
+    rows = df if keys else df.withColumn("__all", F.lit(0))
+    counts = (
+        rows.select(*names, F.col(value).cast("double").alias("__v"))
+        .where("__v is not null")
+        .groupBy(*names, "__v")
+        .agg(F.count(F.lit(1)).alias("__c"))
+        .withColumn("__b", _bucket(F.col("__v")))
+    )
+    within = Window.partitionBy(*names, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*names).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*names, "__b").agg(F.sum("__c").alias("__s"))
+    bases = sums.select(
+        *(F.col(k).alias(f"__{k}") for k in names), F.col("__b").alias("__bb"), F.coalesce(F.sum("__s").over(below), F.lit(0)).alias("__base"),
+        F.sum("__s").over(Window.partitionBy(*names)).alias("__n"),
+    )
+    same = F.col("__b") == F.col("__bb")
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    start = F.col("__base") + F.coalesce("__before", F.lit(0))
+    placed = counts.withColumn("__before", F.sum("__c").over(within)).join(bases, same).withColumn("__start", start)
+
+    def held(rank: Column) -> Column:
+        return F.max(F.when((F.col("__start") <= rank) & (rank < F.col("__start") + F.col("__c")), F.col("__v")))
+
+    each = []
+    for i, p in enumerate(at):
+        place = (F.col("__n") - 1) * p
+        each += [held(F.floor(place)).alias(f"__lo{i}"), held(F.ceil(place)).alias(f"__hi{i}")]
+    picked = placed.groupBy(*names).agg(F.max("__n").alias("n"), *each)
+    lo, hi, place = (lambda i: F.col(f"__lo{i}")), (lambda i: F.col(f"__hi{i}")), (lambda p: (F.col("n") - 1) * p)
+    return picked.select(*keys, "n", *((lo(i) + (hi(i) - lo(i)) * (place(p) - F.floor(place(p)))).alias(f"q{i}") for i, p in enumerate(at)))
+
+
 def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rows, priced rows, median, least and most by key; rows without a key are left out."""
-    return (
-        df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-        .groupBy(key)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count(value).alias("n_priced"),
-            F.median(value).alias("median"),
-            F.min(value).alias("low"),
-            F.max(value).alias("high"),
-        )
+    rows = df.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+    ends = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.count(value).alias("n_priced"), F.min(value).alias("low"), F.max(value).alias("high")
     )
+    medians = order_statistics(rows, [key], value, (0.5,)).select(key, F.col("q0").alias("median"))
+    return ends.join(medians, key, "left").select(key, "n", "n_priced", "median", "low", "high")
+
+
+def headline(df: DataFrame, price: str, brand: str) -> DataFrame:
+    """One row: products, priced, brands and the median price; null prices and brands don't count."""
+    counts = df.agg(F.count(F.lit(1)).alias("products"), F.count(price).alias("priced"), F.count_distinct(brand).alias("brands"))
+    median = order_statistics(df, [], price, (0.5,)).select(F.col("q0").alias("median_price"))
+    # one row each
+    return counts.join(F.broadcast(median), how="left")
 
 
 def quantiles(df: DataFrame, value: str, at: Sequence[float], least: int = 3) -> DataFrame:
-    """Exact linear quantiles, null for fewer than least values."""
-    q = F.percentile(value, F.array(*map(F.lit, at)))
-    row = df.agg(F.count(value).alias("n"), q.alias("q"))
-    return row.select(
-        "n", *(F.when(F.col("n") >= least, F.round(F.get("q", F.lit(i)), 2)).alias(f"p{round(p * 100)}") for i, p in enumerate(at))
-    )
+    """n and exact linear quantiles of all rows, null for fewer than least values."""
+    n = df.agg(F.count(value).alias("n"))
+    found = order_statistics(df, [], value, at).drop("n")
+    # one row each
+    row = n.join(F.broadcast(found), how="left")
+    return row.select("n", *(F.when(F.col("n") >= least, F.round(F.col(f"q{i}"), 2)).alias(f"p{round(p * 100)}") for i, p in enumerate(at)))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10, least_step: float = 1000.0) -> DataFrame:
     """(x0, x1, n): about ten bins of a round step up to the 95th percentile, and the rest in an open one."""
     v = F.col(value)
-    cut = df.where(v.isNotNull()).agg(F.percentile(v, F.lit(0.95)).alias("p95"), F.min(v).alias("low"))
+    cut = order_statistics(df, [], value, (0.95, 0.0)).select(F.col("q0").alias("p95"), F.col("q1").alias("low"))
     step = nice_step(F.greatest(F.lit(least_step), (F.col("p95") - F.col("low")) / bins))
     cut = cut.select("p95", "low", step.alias("step")).select(
         "p95", "step", (F.floor(F.col("low") / F.col("step")) * F.col("step")).alias("start")
@@ -69,7 +124,7 @@ def label_frequency(df: DataFrame, labels: Column) -> DataFrame:
 
 def cheapest_abroad(df: DataFrame, home: str, brand: str = "brand", country: str = "country", price: str = "price") -> DataFrame:
     """Per brand: home median, the foreign country of lowest median, and how much dearer home is in percent."""
-    medians = df.groupBy(brand, country).agg(F.median(price).alias("m"))
+    medians = order_statistics(df, [brand, country], price, (0.5,)).select(brand, country, F.col("q0").alias("m"))
     away = F.when(F.col(country) != home, F.struct("m", country))
     both = medians.groupBy(brand).agg(
         F.max(F.when(F.col(country) == home, F.col("m"))).alias("home_median"), F.min(away).alias("low")

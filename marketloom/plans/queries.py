@@ -470,9 +470,7 @@ def sparkline_scale(spark, d):
 
 @query("""SELECT CAST(count(*) AS BIGINT) AS products, count(p_retailprice) AS priced, count(DISTINCT p_brand) AS brands, median(p_retailprice) AS median_price FROM part""")
 def headline_stats(spark, d):
-    return table(spark, d, "part").agg(
-        F.count(F.lit(1)).alias("products"), F.count("p_retailprice").alias("priced"), F.count_distinct("p_brand").alias("brands"), F.median("p_retailprice").alias("median_price")
-    )
+    return I.headline(table(spark, d, "part"), "p_retailprice", "p_brand")
 
 
 @query(f"""WITH {_OFFERS}, m AS (SELECT type, part, min(price) AS price FROM offers GROUP BY ALL) SELECT type, part, price = min(price) OVER (PARTITION BY type) AS best FROM m""")
