@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from ..operators.history import admits
 from ..operators.rows import newest
@@ -16,9 +17,11 @@ def admitted_stream(df: DataFrame, key: str, t: str, values: list[str], gap: int
     """The streaming form of ``history.admitted``: a key's state is its last kept time and values.
 
     Rows of a micro-batch are taken in order of time; across batches in order of arrival, as nothing is
-    dropped for being late.  State is one row a key and grows with the keys only.
+    dropped for being late.  State is one row a key and grows with the keys only; it has the values' own types.  Rows whose
+    values are all null are dropped.
     """
-    names = df.columns
+    names, kinds = df.columns, {f.name: f.dataType for f in df.schema.fields}
+    whole = [isinstance(kinds[v], IntegralType) for v in values]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = None
@@ -28,15 +31,17 @@ def admitted_stream(df: DataFrame, key: str, t: str, values: list[str], gap: int
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(t, kind="stable")
         keep = []
         for at, *vs in zip(pdf[t], *(pdf[v] for v in values), strict=True):
-            row = tuple(None if pd.isna(v) else int(v) for v in vs)
-            ok = admits(last, at, row, gap)
+            # pandas has no whole numbers beside nulls
+            row = tuple(None if pd.isna(v) else int(v) if n else v for v, n in zip(vs, whole, strict=True))
+            ok = any(v is not None for v in row) and admits(last, at, row, gap)
             if ok:
                 last = (at, row)
             keep.append(ok)
-        state.update((int(last[0]), *last[1]))
+        if last is not None:
+            state.update((int(last[0]), *last[1]))
         yield pdf.loc[keep, names]
 
-    schema = "t long, " + ", ".join(f"v{i} long" for i in range(len(values)))
+    schema = StructType([StructField("t", LongType()), *(StructField(f"v{i}", kinds[v]) for i, v in enumerate(values))])
     return df.groupBy(key).applyInPandasWithState(step, df.schema, schema, "append", GroupStateTimeout.NoTimeout)
 
 
