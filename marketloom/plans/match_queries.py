@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import listings as LM
+from ..operators import rewriting as RW
 from ..session import table
 from .queries import query
 
@@ -68,3 +69,24 @@ def brand_in_listings(spark, d):
     """How many listings hold each product's brand, also inside a longer word."""
     products, listings = products_and_listings(spark, d)
     return LM.brand_hits(products, listings)
+
+
+_VI = "CASE p_type WHEN 'PROMO' THEN 'bột ăn dặm' WHEN 'ECONOMY' THEN 'bánh gạo ăn dặm' WHEN 'SMALL' THEN 'sữa' ELSE 'rice' END"
+_EN = "CASE p_type WHEN 'PROMO' THEN 'baby cereal' WHEN 'ECONOMY' THEN 'baby rice cakes' WHEN 'SMALL' THEN 'sữa' ELSE 'rice' END"
+_QUERY = "CASE WHEN p_size % 3 = 0 THEN 'HiPP ' ELSE '' END || {vi} || ' ' || p_name || ' ' || p_size || CASE WHEN p_size % 5 = 0 THEN ' Holle' ELSE '' END"
+
+
+@query(f"""WITH q AS (SELECT p_partkey AS id, trim(CASE WHEN p_size % 3 = 0 THEN 'HiPP' ELSE '' END || CASE WHEN p_size % 5 = 0 THEN ' Holle' ELSE '' END) AS brands,
+{_EN} || ' ' || p_name || ' ' || p_size AS rest, p_type NOT IN ('PROMO', 'ECONOMY', 'SMALL') AS plain, p_size % 2 = 0 AS captured FROM part)
+SELECT id, trim(brands || ' ' || CASE WHEN captured AND NOT plain THEN 'auf deutsch ' || upper(rest) WHEN captured THEN 'auf deutsch ' || rest
+WHEN plain THEN rest ELSE upper(rest) END) AS text FROM q""")
+def query_rewriting(spark, d):
+    """O-T26, O-T27, O-T29: a query of each part for a German market, half of them with a captured translation into German."""
+    part = table(spark, d, "part")
+    queries = part.select(F.col("p_partkey").alias("id"), F.expr(_QUERY.format(vi=_VI)).alias("query"), F.lit("de").alias("lang"))
+    plain = ~F.col("p_type").isin("PROMO", "ECONOMY", "SMALL")
+    rest = F.expr(f"{_EN} || ' ' || p_name || ' ' || p_size")
+    english = F.when(plain, rest).otherwise(F.upper(rest))
+    into = part.select(rest.alias("text"), F.lit("en").alias("lang"), english.alias("translation"), F.when(plain, "en").otherwise("vi").alias("detected"))
+    even = part.select(english.alias("text"), F.lit("de").alias("lang"), F.concat(F.lit("auf deutsch "), english).alias("translation"), F.lit("en").alias("detected"), "p_size")
+    return RW.translated_queries(queries, into.unionByName(even.where("p_size % 2 = 0").drop("p_size"))).select("id", "text")
