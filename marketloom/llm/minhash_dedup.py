@@ -14,9 +14,13 @@ outsider is then tried against its best estimate.  What remains are pairs of dif
 buckets that are still mixed: their full sets meet inside one task, block by block, and only links
 leave it.
 
+Vertices of the links are distinct sets, each with a number of its own; their documents follow from
+that.
+
 Nulls, blanks: an empty set, linked with nothing (n_shingles 0).  Rows that repeat a doc_id count
-as one document: each returns its own n_shingles and the component of the doc_id.  A null doc_id is
-no vertex; its row returns component_id null and kept false.
+as one document, also where their texts differ: it is linked with whatever one of its texts is linked with,
+each row returns its own n_shingles and the component of the doc_id.  A null doc_id is no vertex; its row
+returns component_id null and kept false.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected, map_arrow, sorted_groups
+from .common import Scratch, connected, map_arrow, slices, sorted_groups
 from .shingles import overlap, shingle_set
 
 BANDS = 32
@@ -112,7 +116,7 @@ def _signatures(columns: dict) -> dict:
         out["id"].append(doc_id)
         out["n"].append(len(s))
         if len(s):
-            out["fp"].append(xxhash.xxh3_128_digest(s.tobytes()))
+            out["fp"].append(_digest(s))
             out["sig"].append(sigs[k].tobytes())
             out["bands"].append(
                 [_signed(xxhash.xxh3_64_intdigest(bands[k, b].tobytes(), b)) for b in range(BANDS)]
@@ -245,9 +249,30 @@ def _confirm(columns: dict) -> dict:
     return out
 
 
-def _sets(columns: dict) -> dict:
-    sets = [shingle_set(t) for t in columns["text"].to_pylist()]
-    return {"rep": columns["doc_id"], "items": [s.tobytes() for s in sets]}
+def _digest(items: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts that stand for a class: rows(doc_id, text, fp, rep), sorted by doc_id, which may repeat.
+
+    A doc_id's rows hold a class once for each repeat of its text; the first one is enough.
+    """
+    now, done = None, set()
+    for batch in batches:
+        for part in slices(batch):
+            reps, items = [], []
+            for doc_id, text, fp, rep in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "fp", "rep")), strict=True):
+                if doc_id != now:
+                    now, done = doc_id, set()
+                if rep in done:
+                    continue
+                held = shingle_set(text)
+                if _digest(held) == fp:
+                    done.add(rep)
+                    reps.append(rep)
+                    items.append(held.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(items, pa.binary())], names=["rep", "items"])
 
 
 def _confirmed(scratch: Scratch, sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
@@ -306,10 +331,8 @@ def _labelled(entries: DataFrame, components: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
-    scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _linked(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows' digests signed(id, n, fp), classes(fp, rep, low) of equal sets, and the links(u, v) that join them."""
     signed = scratch.write(
         "signed",
         map_arrow(docs, _signatures, "id long, n long, fp binary, sig binary, bands array<long>"),
@@ -317,19 +340,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     usable = signed.where("n > 0 and id is not null")
     classes = scratch.write(
         "classes",
-        usable.groupBy("fp").agg(
-            F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
-        ),
+        usable.groupBy("fp")
+        .agg(F.min("id").alias("low"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .withColumn("rep", F.monotonically_increasing_id()),
     )
     entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     entries = scratch.write("entries", entries.join(shared, ["band", "key"]).select("band", "key", "size", "rep"))
     signatures = classes.select("rep", "sig", "bands")
-    shared_ids = entries.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.write(
-        "sets",
-        map_arrow(docs.join(shared_ids.hint("shuffle_hash"), "doc_id", "left_semi"), _sets, "rep long, items binary"),
-    )
+    wanted = classes.join(entries.select("rep").distinct(), "rep", "left_semi").select(F.col("low").alias("doc_id"), "fp", "rep")
+    # rows of a doc_id meet in one task, in order, whatever the sizes are
+    chosen = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "fp", "rep").sortWithinPartitions("doc_id")
+    sets = scratch.write("sets", chosen.mapInArrow(_sets, "rep long, items binary"))
     floor = floor_estimate()
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK).cast("long")).cast("int")
     forest = (
@@ -350,14 +372,40 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     cells = _mixed(scratch.write("relabelled", _labelled(entries, found))).join(signatures, "rep").join(sets, "rep")
     third = scratch.write("third", _dealt(cells).mapInArrow(_exact(floor), "u long, v long"))
-    final = scratch.write("components", connected(scratch, first.union(second).union(third), "cc-final"))
+    links = scratch.write("links", first.union(second).union(third))
     scratch.drop("entries", "sets", "forest", "best", "labelled", "relabelled", "first", "second", "third")
+    return signed.select("id", "n", "fp"), classes.select("fp", "rep", "low"), links
+
 
-    by_class = classes.select("fp", "rep").join(
-        final.withColumnRenamed("node", "rep"), "rep", "left"
-    ).select("fp", F.coalesce("label", "rep").alias("component"))
-    out = signed.select("id", "n", "fp").join(by_class, "fp", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+def _several(signed: DataFrame) -> DataFrame:
+    """doc_ids with more than one text, by digest; an empty one counts."""
+    fp = F.coalesce("fp", F.lit(b""))
+    return signed.where("id is not null").groupBy("id").agg(F.min(fp).alias("a"), F.max(fp).alias("b")).where("a <> b").select("id")
+
+
+def _components(scratch: Scratch, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with ``label``, the number of their component."""
+    final = scratch.write("components", connected(scratch, links, "cc-final"))
+    return classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
+    scratch = Scratch(spark, "minhash")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed, classes, links = _linked(scratch, docs)
+    # the texts of one doc_id are one document: each of their classes is linked with the first
+    held = signed.where("n > 0").join(_several(signed), "id", "left_semi").distinct().join(classes, "fp").select("id", "rep")
+    held = scratch.write("held", held)
+    one = held.join(held.groupBy("id").agg(F.min("rep").alias("v")), "id").where("rep <> v").select(F.col("rep").alias("u"), "v")
+    labelled = scratch.write("by-class", _components(scratch, classes, links.union(one)))
+    lowest = labelled.groupBy("label").agg(F.min("low").alias("component"))
+    by_class = labelled.join(lowest, "label").select("fp", "component")
+    rows = signed.join(by_class, "fp", "left")
+    # a doc_id's row without words takes the component of its rows with words
+    bare = held.join(labelled.select("rep", "label"), "rep").join(lowest, "label").groupBy("id").agg(F.min("component").alias("of_id"))
+    out = rows.join(bare, "id", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "of_id", "id"))
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -366,15 +414,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
+def _text_digest():
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _digest(shingle_set(t)) or b"")
+
+    return digest
+
+
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate component; its columns stay as they are.
+    """docs with one row of each near-duplicate component of texts; its columns stay as they are.
 
-    Rows that repeat a doc_id and its words leave one row, and so do exact repeats; a doc_id with several
-    texts keeps each of them, for none may be lost.  Rows without a doc_id all stay.
+    Here texts are what is linked: a doc_id with several texts keeps each that no other kept text is near to.  Of a component
+    the row of the smallest doc_id stays, one of those with equal words.  Of rows without words one a doc_id stays;
+    rows without a doc_id all stay.
     """
-    kept = near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    left = docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi")
-    # equal texts of one doc_id are told by a digest, so no text is a key of the shuffle
-    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    one = left.withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    scratch = Scratch(spark, "minhash")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed, classes, links = _linked(scratch, plain)
+    labelled = _components(scratch, classes, links)
+    best = labelled.groupBy("label").agg(F.min(F.struct("low", "fp")).alias("k")).select(F.col("k.low").alias("__id"), F.col("k.fp").alias("__fp"))
+    bare = signed.where("n = 0 and id is not null").select(F.col("id").alias("__id"), F.lit(b"").alias("__fp")).distinct()
+    wanted = scratch.write("wanted", best.union(bare))
+    several = scratch.write("several", _several(signed).withColumnRenamed("id", "__id"))
+    same = docs["doc_id"].cast("long") == F.col("__id")
+    # most doc_ids have one text, whose digest need not be told again
+    single = docs.join(wanted.join(several, "__id", "left_anti").select("__id"), same, "left_semi").dropDuplicates(["doc_id"])
+    mixed = docs.join(several, same, "left_semi").withColumn("__fp", _text_digest()(F.col("text").cast("string")))
+    mixed = mixed.dropDuplicates(["doc_id", "__fp"])
+    chosen = wanted.withColumnRenamed("__fp", "__kept")
+    mixed = mixed.join(chosen, (mixed["doc_id"].cast("long") == F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi").drop("__fp")
+    return single.unionByName(mixed).unionByName(docs.where(F.col("doc_id").isNull()))

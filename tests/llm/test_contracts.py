@@ -178,3 +178,18 @@ def test_rollup_batch_between_list_and_sum(spark, monkeypatch):
     assert [r.n_tokens for r in rollup.totals().collect()] == [110]
     rollup.compact()
     assert [r.n_tokens for r in rollup.totals().collect()] == [110]
+
+
+def test_minhash_doc_id_with_several_texts(spark):
+    words = [f"word{i}" for i in range(60)]
+    a, b, c = " ".join(words[:30]), " ".join(words[30:]), " ".join(words[10:50])
+    near = a + " tail"
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, None), (9, c), (9, c), (9, ""), (11, near), (None, a), (13, None), (13, None), (15, c.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(spark, df).collect())
+    assert got == sorted([
+        (3, 26, 3, True), (5, 26, 3, False), (5, 26, 3, False), (7, 26, 3, False), (7, 0, 3, False), (9, 36, 9, True), (9, 36, 9, True), (9, 0, 9, True), (11, 27, 3, False),
+        (-1, 26, None, False), (13, 0, 13, True), (13, 0, 13, True), (15, 36, 9, False),
+    ])
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in minhash_dedup.keep_one(spark, df).collect())
+    assert kept == sorted([(3, a), (5, b), (7, ""), (9, c), (9, ""), (-1, a), (13, "")])
