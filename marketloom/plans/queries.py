@@ -204,13 +204,6 @@ def listing_key(spark, d):
     return table(spark, d, "pages").select("page_id", U.listing_key(F.col("url"), F.lit("page"), F.col("page_id").cast("string")).alias("key"))
 
 
-@query("""WITH few AS (SELECT item_id AS id, md5(text) AS digest FROM benchmark WHERE item_id < 5), many AS (SELECT item_id AS id, md5(text) AS digest FROM benchmark)
-SELECT * FROM few UNION ALL SELECT * FROM many WHERE digest NOT IN (SELECT digest FROM few) AND (SELECT count(*) FROM few) < 8""")
-def conditional_union_anti(spark, d):
-    wide = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("digest"))
-    return R.widen(wide.where("id < 5"), wide, "digest", 8)
-
-
 @query("""WITH many AS (SELECT doc_id AS id, md5(text) AS digest, contains(lower(text), 'license') AS narrow FROM documents), few AS (SELECT id, digest FROM many WHERE narrow)
 SELECT * FROM few UNION ALL SELECT id, digest FROM many WHERE NOT EXISTS (SELECT 1 FROM few WHERE few.digest = many.digest) AND (SELECT count(*) FROM few) < 8""")
 def conditional_union_anti_documents(spark, d):
@@ -335,11 +328,17 @@ def tracked_due(spark, d):
 _STOPS = ", ".join(f"'{w}'" for w in L.STOP)
 
 
-@query(f"""WITH w AS (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: len(x) >= 2))) AS word FROM benchmark)
-SELECT word, count(*) AS n FROM w WHERE word NOT IN ({_STOPS}) GROUP BY word ORDER BY n DESC, word LIMIT 30""")
+_SEED = ("that", "dans", "und")
+_SEEDS = ", ".join(f"'{w}'" for w in _SEED)
+
+
+@query(f"""WITH t AS (SELECT replace(regexp_replace(strip_accents(lower(text)), '[\u0300-\u036f]', '', 'g'), 'đ', 'd') AS folded FROM documents WHERE text IS NOT NULL),
+w AS (SELECT unnest(list_distinct(list_filter(string_split(trim(regexp_replace(folded, '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) >= 2))) AS word FROM t)
+SELECT word, count(*) AS n FROM w WHERE word NOT IN ({_STOPS}) AND word NOT IN ({_SEEDS}) GROUP BY word ORDER BY n DESC, word LIMIT 30""")
 def keyword_cooccurrence(spark, d):
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}\p{M}]+"), lambda w: F.length(w) >= 2)
-    return I.co_occurrence(table(spark, d, "benchmark"), words, L.STOP, [])
+    """Words of whole documents, folded, without stop and seed words."""
+    words = F.filter(F.split(T.fold(F.col("text")), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
+    return I.co_occurrence(table(spark, d, "documents").where("text is not null"), words, L.STOP, _SEED)
 
 
 _NAMES = "names AS (SELECT p_partkey AS id, p_brand, list_distinct(string_split(lower(p_name || ' ' || p_type || ' ' || CAST(p_size % 7 AS VARCHAR)), ' ')) AS tokens FROM part)"
@@ -423,13 +422,14 @@ def importer_directory(spark, d):
     )
 
 
-@query("""WITH c AS (SELECT p_partkey, lpad(CAST(p_partkey * 7919 + 100000 AS VARCHAR), 8, '4') AS code FROM part),
-s AS (SELECT *, list_sum(list_transform(range(1, 8), lambda i: CAST(code[8 - i] AS INTEGER) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) AS total FROM c)
-SELECT p_partkey, CASE WHEN (10 - total % 10) % 10 = CAST(code[8] AS INTEGER) THEN code END AS gtin FROM s WHERE len(code) = 8""")
+@query("""WITH c AS (SELECT p_partkey, lpad(CAST(p_partkey * 7919 + 100000 AS VARCHAR), CASE p_partkey % 4 WHEN 0 THEN 14 WHEN 1 THEN 13 WHEN 2 THEN 12 ELSE 11 END, '4') AS code FROM part),
+s AS (SELECT *, len(code) AS n, list_sum(list_transform(range(1, len(code)), lambda i: CAST(code[len(code) - i] AS INTEGER) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) AS total FROM c)
+SELECT p_partkey, CASE WHEN n >= 12 AND (10 - total % 10) % 10 = CAST(code[n] AS INTEGER) THEN code END AS gtin FROM s""")
 def gtin_checksum(spark, d):
-    code = F.lpad((F.col("p_partkey") * 7919 + 100000).cast("string"), 8, "4")
-    wide = table(spark, d, "part").select("p_partkey", code.alias("code"), F.length((F.col("p_partkey") * 7919 + 100000).cast("string")).alias("n"))
-    return wide.where("n <= 8").select("p_partkey", P.gtin(F.col("code")).alias("gtin"))
+    """O-P16: every part, with codes of 11 (no barcode) to 14 digits; a tenth of the others have a right check digit."""
+    n = F.when(F.col("p_partkey") % 4 == 0, 14).when(F.col("p_partkey") % 4 == 1, 13).when(F.col("p_partkey") % 4 == 2, 12).otherwise(11)
+    code = F.lpad((F.col("p_partkey") * 7919 + 100000).cast("string"), 14, "4")
+    return table(spark, d, "part").select("p_partkey", P.gtin(F.substring(code, 15 - n, n)).alias("gtin"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(coalesce(nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), ''), trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))), '\s+', ' ', 'g')) AS title FROM pages""")
@@ -496,16 +496,6 @@ def brand_opportunities(spark, d):
     return rolled.where("classes <> 'nkcn'").orderBy(F.desc("score"), F.desc("reviews"), "brand").limit(12)
 
 
-@query("""WITH p AS (SELECT p_partkey, p_brand, ltrim(lpad(CAST(p_partkey % 500 AS VARCHAR), 6, '0'), '0') AS code FROM part),
-d AS (SELECT code, max(p_partkey) AS donor FROM p WHERE p_partkey >= 500 GROUP BY code)
-SELECT p_partkey, donor, 2 AS score FROM p JOIN d USING (code) WHERE p_partkey < 500""")
-def barcode_donor(spark, d):
-    code = F.ltrim(F.lpad((F.col("p_partkey") % 500).cast("string"), 6, "0"), F.lit("0"))
-    parts = table(spark, d, "part").select("p_partkey", code.alias("code"))
-    donors = R.newest(parts.where("p_partkey >= 500").select("code", F.col("p_partkey").alias("donor")), ["code"], ["donor"])
-    return parts.where("p_partkey < 500").join(donors, "code").select("p_partkey", "donor", F.lit(2).alias("score"))
-
-
 @query("""WITH p AS (SELECT p_partkey, ltrim(lpad(substr(p_brand, 7) || lpad(CAST(p_size AS VARCHAR), 2, '0'), 13, '0'), '0') AS code,
  p_type IN ('ECONOMY', 'PROMO', 'SMALL') AS ingredients, p_type IN ('PROMO', 'LARGE') AS storage FROM part),
 d AS (SELECT code, max(p_partkey) AS donor, arg_max(ingredients, p_partkey) AS gives_ingredients, arg_max(storage, p_partkey) AS gives_storage FROM p WHERE ingredients OR storage GROUP BY code)
