@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions.price import half_up
+from ..functions.text import fold, pattern
 
 
 def token_sets(items: DataFrame, tokens: str, on: list[str], key: str = "id") -> DataFrame:
@@ -86,6 +87,47 @@ def nearest_by_tokens(items: DataFrame, tokens: str, least: float, *, on: list[s
     ).where("donor is not null")
 
 
+# Words that say nothing in an item's name when items are compared.
+NAME_STOP = (
+    "cho", "be", "tre", "em", "hop", "goi", "tui", "lon", "chai", "combo", "loc", "set", "vi", "huong", "loai",
+    "the", "and", "with", "for", "of", "pack", "baby", "babies", "months", "month", "thang", "tuoi", "nam", "chinh", "hang", "nhap", "khau",
+)
+NAME_SIZES = pattern(r"[0-9]+(?:[.,][0-9]+)?\s*(?:g|gr|gram|ml|kg|l|oz|m|thang|tuoi|x)\b")
+
+
+def name_tokens(title: Column, brand: Column) -> Column:
+    """Distinct folded words of a name without sizes, numbers, single signs, its brand's words and words that say nothing."""
+    words = F.split(F.regexp_replace(fold(title), NAME_SIZES, " "), "[^a-z0-9]+")
+    own = F.split(fold(brand), r"\s+")
+    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.rlike("^[0-9]+$") & ~w.isin(*NAME_STOP))
+    return F.array_except(kept, own)
+
+
+def section_donors(items: DataFrame, tokens: str, sections: list[str], least: float, *, on: list[str], key: str = "id", fewest: int = 2) -> DataFrame:
+    """(key, section, donor, score): for each section that an item lacks, the most similar item that has it, ties to the smaller key.
+
+    ``sections`` are boolean columns.  Items of fewer than ``fewest`` tokens borrow nothing.  Donors are told by token set and
+    section, and compared with each distinct set once: no pair of items is made.
+    """
+    has = [F.coalesce(F.col(c), F.lit(False)) for c in sections]
+    names = F.array(*map(F.lit, sections))
+    rows = items.select(*on, key, F.array_sort(F.array_distinct(tokens)).alias("set"), F.array(*has).alias("_has"))
+    each = rows.select(*on, key, "set", F.posexplode("_has").alias("_at", "_own"))
+    donors = each.where("_own").groupBy(*on, F.col("set").alias("r_set"), "_at").agg(F.min(key).alias("donor"))
+    # all sets meet those of donors alone
+    giving = donors.select(*on, F.col("r_set").alias("set")).distinct()
+    pairs = set_pairs(rows, giving, least, on)
+    best = (
+        pairs.join(donors, [*on, "r_set"])
+        .groupBy(*on, F.col("l_set").alias("set"), "_at")
+        .agg(F.min(F.struct((-F.col("similarity")).alias("far"), "donor")).alias("best"))
+    )
+    lacking = each.where(~F.col("_own") & (F.size("set") >= fewest))
+    return lacking.join(best, [*on, "set", "_at"]).select(
+        key, F.get(names, F.col("_at")).alias("section"), F.col("best.donor").alias("donor"), (-F.col("best.far")).alias("score")
+    )
+
+
 def reached(items: DataFrame, offers: DataFrame, tokens: str, least: float, *, on: list[str], counted: list[str],
             key: str = "id") -> DataFrame:
     """(key, one count for each of ``counted``): distinct values that the other similar items' offers hold.

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import listings as LM
+from ..operators import matching as M
 from ..operators import rewriting as RW
 from ..session import table
+from ..sources import lookups
 from .queries import query
 
 _CODE = "CASE WHEN p_partkey % 5 = 0 THEN '40' || lpad(CAST(p_partkey AS {s}), 10, '0') END"
@@ -90,3 +92,37 @@ def query_rewriting(spark, d):
     into = part.select(rest.alias("text"), F.lit("en").alias("lang"), english.alias("translation"), F.when(plain, "en").otherwise("vi").alias("detected"))
     even = part.select(english.alias("text"), F.lit("de").alias("lang"), F.concat(F.lit("auf deutsch "), english).alias("translation"), F.lit("en").alias("detected"), "p_size")
     return RW.translated_queries(queries, into.unionByName(even.where("p_size % 2 = 0").drop("p_size"))).select("id", "text")
+
+
+_SECTIONS = "p_type IN ('ECONOMY', 'PROMO', 'SMALL') AS ingredients, p_type IN ('PROMO', 'LARGE') AS storage"
+
+
+@query(f"""WITH names AS (SELECT p_partkey AS id, p_brand, list_distinct(string_split(lower(p_name || ' ' || CAST(p_size % 11 AS VARCHAR)), ' ')) AS tokens, {_SECTIONS} FROM part),
+p AS (SELECT a.id AS id, b.id AS donor, len(list_intersect(a.tokens, b.tokens)) AS i, len(a.tokens) + len(b.tokens) AS s, NOT a.ingredients AND b.ingredients AS ingredients, NOT a.storage AND b.storage AS storage
+  FROM names a JOIN names b ON a.p_brand = b.p_brand AND a.id <> b.id),
+q AS (SELECT id, donor, i / CAST(s - i AS DOUBLE) AS score, unnest(CASE WHEN ingredients AND storage THEN ['ingredients', 'storage'] WHEN ingredients THEN ['ingredients'] ELSE ['storage'] END) AS section
+  FROM p WHERE (ingredients OR storage) AND i / CAST(s - i AS DOUBLE) >= 0.6)
+SELECT id, section, donor, round(score, 6) AS score FROM q QUALIFY row_number() OVER (PARTITION BY id, section ORDER BY score DESC, donor) = 1""")
+def section_donors(spark, d):
+    """For each section that a part lacks, the most similar part of its brand that has it."""
+    tokens = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", (F.col("p_size") % 11).cast("string"))), " "))
+    ingredients, storage = F.col("p_type").isin("ECONOMY", "PROMO", "SMALL"), F.col("p_type").isin("PROMO", "LARGE")
+    items = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), "p_brand", tokens.alias("tokens"), ingredients.alias("ingredients"), storage.alias("storage")
+    )
+    found = M.section_donors(items, "tokens", ["ingredients", "storage"], 0.6, on=["p_brand"])
+    return found.select("id", "section", "donor", F.round("score", 6).alias("score"))
+
+
+@query("""WITH v AS (SELECT n_nationkey % 3 AS k, n_nationkey * 20000000 + 1704067200000 AS t, 100.0 + n_nationkey AS rate FROM nation),
+e AS (SELECT event_id, user_id % 4 AS k, epoch_ms(ts) AS t FROM events)
+SELECT event_id, coalesce((SELECT arg_max(rate, v.t) FROM v WHERE v.k = e.k AND v.t <= e.t), CASE e.k WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 END) AS rate FROM e""")
+def rates_of_events(spark, d):
+    """Each event's rate as of its time, from versions that come one after the other; fixed rates before the first."""
+    name = lambda c: F.concat(F.lit("C"), c.cast("string"))
+    versions = table(spark, d, "nation").select(
+        name(F.col("n_nationkey") % 3).alias("currency"), (F.col("n_nationkey").cast("long") * 20_000_000 + 1_704_067_200_000).alias("t"),
+        (F.col("n_nationkey") + 100.0).alias("rate"),
+    )
+    rows = table(spark, d, "events").select("event_id", name(F.col("user_id") % 4).alias("currency"), F.unix_millis("ts").alias("t"))
+    return lookups.rates_as_of(rows, versions, fallback={"C0": 1.0, "C1": 2.0}).select("event_id", "rate")

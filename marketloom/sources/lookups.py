@@ -45,6 +45,29 @@ def rates(captures: DataFrame, fallback: Mapping[str, float] | None = None) -> D
     )
 
 
+def rates_as_of(rows: DataFrame, versions: DataFrame, t: str = "t", fallback: Mapping[str, float] | None = None, horizon: int | None = None) -> DataFrame:
+    """rows with ``rate`` and ``rate_t`` of their currency as it stood at their time, else the fixed rate and null.
+
+    versions(currency, t, rate) is a table that grows by refreshes; a version counts from its own time on, for at most
+    ``horizon`` (of the same unit as t) if that is given.  A currency's versions are one sorted array of a small table, so
+    rows are not shuffled and need no order.
+    """
+    known = versions.where("rate is not null and rate <> 0").groupBy("currency", "t").agg(F.max("rate").alias("rate"))
+    arrays = known.groupBy("currency").agg(F.array_sort(F.collect_list(F.struct("t", "rate"))).alias("_versions"))
+    fixed = rows.sparkSession.createDataFrame(list((fallback or L.FALLBACK_RATES).items()), "currency string, _fixed double")
+    table = fixed.join(arrays, "currency", "full")
+    joined = rows.join(F.broadcast(table), "currency", "left")
+    at = F.col(t)
+
+    def counts(v: Column) -> Column:
+        return (v["t"] <= at) if horizon is None else (v["t"] <= at) & (at - v["t"] <= horizon)
+
+    held = F.filter("_versions", counts)
+    return joined.withColumn("_v", F.try_element_at(held, F.lit(-1))).withColumns(
+        {"rate": F.coalesce("_v.rate", "_fixed"), "rate_t": F.col("_v.t")}
+    ).drop("_v", "_versions", "_fixed")
+
+
 def in_dong(items: DataFrame, rate: DataFrame, price: str = "price", out: str = "price_vnd") -> DataFrame:
     """items with a price in đồng by a table of rates, one row a currency; unknown currencies give null."""
     r = rate.select("currency", F.col("rate").alias("_rate"))
@@ -54,20 +77,26 @@ def in_dong(items: DataFrame, rate: DataFrame, price: str = "price", out: str =
 def food_facts(captures: DataFrame) -> DataFrame:
     """(gtin, title, brand, ingredients, storage, usage) of captured records of the food database, one a barcode.
 
-    captures(gtin, payload); a text counts from six signs on, and its languages are tried in a fixed order."""
+    captures(gtin, payload[, t]); a text counts from six signs on, and its languages are tried in a fixed order.  Of several
+    records of a barcode one counts whole: the last captured, without ``t`` the one that says most, then the greatest."""
 
     def first(*names: str) -> Column:
         each = (F.get_json_object("payload", f"$.product.{n}") for n in names)
         return F.coalesce(*(F.when(F.length(F.trim(c)) > 5, c) for c in each))
 
+    order = F.col("t") if "t" in captures.columns else F.lit(0)
     rows = captures.select(
-        P.gtin(F.col("gtin")).alias("gtin"), F.get_json_object("payload", "$.product.product_name").alias("title"),
+        order.alias("_t"), P.gtin(F.col("gtin")).alias("gtin"), F.get_json_object("payload", "$.product.product_name").alias("title"),
         F.get_json_object("payload", "$.product.brands").alias("brand"),
         first(*(f"ingredients_text{s}" for s in ("_vi", "_en", "", "_de", "_fr"))).alias("ingredients"),
         first("conservation_conditions_vi", "conservation_conditions_en", "conservation_conditions").alias("storage"),
         first("preparation_vi", "preparation_en", "preparation").alias("usage"),
     ).where("gtin is not null")
-    return rows.groupBy("gtin").agg(*(F.max(c).alias(c) for c in rows.columns[1:]))
+    names = rows.columns[2:]
+    told = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
+    record = F.struct(*names)
+    last = rows.groupBy("gtin").agg(F.max_by(record, F.struct("_t", told.alias("n"), *names)).alias("r"))
+    return last.select("gtin", "r.*")
 
 
 def with_food_facts(items: DataFrame, facts: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from ..operators.history import admits
 from ..operators.rows import newest
+from ..sources.lookups import rates_as_of
 
 
 def admitted_stream(df: DataFrame, key: str, t: str, values: list[str], gap: int) -> DataFrame:
@@ -59,3 +60,17 @@ def keep_latest(stream: DataFrame, path: str, keys: list[str], order: list[str],
         newest(rows, keys, order).select(*df.columns).write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def with_fresh_rates(stream: DataFrame, versions_path: str, write, checkpoint: str, t: str = "t", horizon: int | None = None):
+    """Runs a stream whose rows get their currency's rate as of their time, from a table of versions that others refresh.
+
+    The table is listed anew by each micro-batch, so a refresh is seen without a restart; a batch that runs again gives
+    earlier rows the same versions, for a version never counts before its own time.  ``write(df, epoch)`` takes the rows.
+    """
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        versions = df.sparkSession.read.schema("currency string, t long, rate double").parquet(versions_path)
+        write(rates_as_of(df, versions, t, horizon=horizon), epoch)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
