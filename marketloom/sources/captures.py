@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.price import parse_sold
 from ..functions.text import bound, clean, item_id, text_from_html, truncate
 
 #: What every connector gives; what it does not know is null.
@@ -106,6 +107,17 @@ def _dashed(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
 
 
+# Hosts and currencies of one marketplace's countries.
+LAZADA = {
+    "vn": ("www.lazada.vn", "VND"), "th": ("www.lazada.co.th", "THB"), "sg": ("www.lazada.sg", "SGD"), "my": ("www.lazada.com.my", "MYR"),
+    "ph": ("www.lazada.com.ph", "PHP"), "id": ("www.lazada.co.id", "IDR"),
+}
+
+
+def _of_market(i: int) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for market, values in LAZADA.items() for x in (market, values[i]))), F.col("market"))
+
+
 CONNECTORS: dict[str, Connector] = {
     c.id: c
     for c in (
@@ -237,6 +249,15 @@ CONNECTORS: dict[str, Connector] = {
             "currency": lambda: F.lit("KRW"), "brand": lambda: at("brandName"), "rating": lambda: F.when(num("reviewCount") > 0, num("reviewScore")),
             "reviews": lambda: num("reviewCount"), "seller": lambda: F.lit("Lotte ON"),
         }, json=_inline_objects, unique=lambda r: _key_of(r, "spdNo", ("spdNm", "spdNo"))),
+        Connector("lazada", "shop", tuple(LAZADA), ("mods.listItems",), {
+            "title": lambda: at("name"),
+            "url": lambda: F.split_part(F.when(at("itemUrl").startswith("//"), F.concat(F.lit("https:"), at("itemUrl"))).when(at("itemUrl").rlike("^https?:"), at("itemUrl"))
+                                        .otherwise(F.concat(F.lit("https://"), _of_market(0), at("itemUrl"))), F.lit("?"), F.lit(1)),
+            "image": lambda: at("image"), "price": lambda: at("price").try_cast("double"), "price_text": lambda: at("priceShow"), "currency": lambda: _of_market(1),
+            "originalPrice": lambda: num("originalPrice"), "brand": lambda: at("brandName"), "seller": lambda: at("sellerName"), "rating": lambda: num("ratingScore"),
+            "reviews": lambda: num("review"), "sold": lambda: parse_sold(at("itemSoldCntShow")),
+            "sponsored": lambda: F.coalesce(at("isSponsored"), F.lit("")).isin("true", "1") | F.coalesce(at("adFlag"), F.lit("")).isin("true", "1"),
+        }),
         Connector("off", "db", EVERYWHERE, ("hits",), {
             "title": lambda: clean(F.coalesce(at("product_name_vi"), at("product_name"), at("product_name_en"))),
             "url": lambda: prefixed("https://world.openfoodfacts.org/product/", at("code")), "image": lambda: F.coalesce(at("image_front_url"), at("image_front_small_url")),

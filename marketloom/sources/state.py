@@ -161,8 +161,8 @@ def string_in(o, key: re.Pattern, value: re.Pattern, depth: int = 0, no_key: re.
     return None
 
 
-def products(values, base: str | None) -> list[dict]:
-    """Objects with a name, a price and an address or image, as title, url, image, brand, price or price text, currency.
+def products(values, base: str | None, raw: bool = False) -> list[dict]:
+    """Objects with a name, a price and an address or image, as title, url, image, brand, price or price text, currency; ``raw`` adds the object.
 
     The search goes depth first from the last value on and ends after ``MOST_VISITED`` objects.
     """
@@ -192,7 +192,7 @@ def products(values, base: str | None) -> list[dict]:
                     "title": " ".join(filter(None, (title, size))), "url": absolute(address, base), "image": absolute(image, base),
                     "brand": tidy(brand) or None if isinstance(brand, str) else None,
                     "price": price[0] if _number(price[0]) else None, "prices": [price[0]] if isinstance(price[0], str) else [],
-                    "currency": price[1] if isinstance(price[1], str) else None,
+                    "currency": price[1] if isinstance(price[1], str) else None, **({"raw": o} if raw else {}),
                 })
         stack.extend((v, depth + 1) for v in o.values() if isinstance(v, (dict, list)))
     return list(out.values())
