@@ -55,19 +55,24 @@ def result_filter(df: DataFrame, *, relevant: bool = False, food: bool = False,
     return df
 
 
-def ordered(df: DataFrame, order: str, tie: str = "ord") -> DataFrame:
-    """The result list's orders; the order of arrival breaks ties."""
+def relevance_score() -> Column:
+    """What the result list is ordered by: relevance, and what a row has to show; later places of a source count less."""
     c = F.col
-    score = (
+    return (
         F.coalesce(c("relevance"), F.lit(0.0))
         + 0.12 * c("priceVND").isNotNull().cast("int")
         + 0.06 * c("image").isNotNull().cast("int")
         + 0.05 * (c("kind") != "web").cast("int")
         + 0.04 * (F.size(F.coalesce("sections", F.create_map())) > 0).cast("int")
         - 0.003 * F.coalesce(c("pos"), F.lit(0))
-    ) if order == "relevance" else None
+    )
+
+
+def ordered(df: DataFrame, order: str, tie: str = "ord") -> DataFrame:
+    """The result list's orders; the order of arrival breaks ties."""
+    c = F.col
     keys = {
-        "relevance": lambda: [score.desc()],
+        "relevance": lambda: [relevance_score().desc()],
         "price-asc": lambda: [c("priceVND").asc_nulls_last()],
         "price-desc": lambda: [c("priceVND").desc_nulls_last()],
         "p100-asc": lambda: [c("pricePer100VND").asc_nulls_last()],

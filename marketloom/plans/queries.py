@@ -20,6 +20,7 @@ from ..operators import insights as I
 from ..operators import items as Items
 from ..operators import listings as LM
 from ..operators import matching as M
+from ..operators import panels as Panels
 from ..operators import rows as R
 from ..session import table
 
@@ -149,12 +150,9 @@ def relevance_composite_order(spark, d):
     items = table(spark, d, "part").select(
         "p_partkey", (F.col("p_size") / 50.0).alias("relevance"), F.when(F.col("p_retailprice") >= 1000, F.col("p_retailprice")).alias("priceVND"),
         F.lit("i").alias("image"), F.when(F.col("p_type") == "ECONOMY", "web").otherwise("shop").alias("kind"), (F.col("p_partkey") % 24).alias("pos"),
+        F.create_map().cast("map<string,string>").alias("sections"),
     )
-    score = F.round(
-        F.col("relevance") + F.when(F.col("priceVND").isNotNull(), 0.12).otherwise(0) + 0.06
-        + F.when(F.col("kind") != "web", 0.05).otherwise(0) - 0.003 * F.col("pos"), 6
-    )
-    return items.select("p_partkey", score.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(120)
+    return items.select("p_partkey", F.round(R.relevance_score(), 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(120)
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey
@@ -231,11 +229,14 @@ def provider_fallback_priority(spark, d):
 @query("""SELECT r_name AS source, n_name AS market FROM region, nation WHERE r_regionkey = 0 OR n_regionkey = r_regionkey
 UNION ALL SELECT 'global' AS source, 'world' AS market""")
 def task_cross_plan(spark, d):
-    # sources and markets are small dimensions of the registry
-    sources = F.broadcast(table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("source")))
     markets = table(spark, d, "nation").select("n_regionkey", F.col("n_name").alias("market"))
-    tasks = markets.join(sources, (F.col("r_regionkey") == 0) | (F.col("n_regionkey") == F.col("r_regionkey"))).select("source", "market")
-    return tasks.union(spark.createDataFrame([("global", "world")], "source string, market string"))
+    own = markets.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list("market").alias("own"))
+    everywhere = F.when(F.col("r_regionkey") == 0, F.array(F.lit("*"))).otherwise(F.coalesce("own", F.array().cast("array<string>")))
+    sources = table(spark, d, "region").join(own, "r_regionkey", "left").select(
+        F.col("r_name").alias("source"), F.lit(True).alias("enabled"), F.lit(False).alias("global"), everywhere.alias("markets")
+    )
+    world = spark.createDataFrame([("global", True, True, ["*"]), ("off", False, False, ["*"])], sources.schema)
+    return Panels.task_plan(sources.union(world), markets)
 
 
 @query("""SELECT o_orderkey, CASE WHEN rate > 0 THEN CAST(floor(o_totalprice * rate + 0.5) AS BIGINT) END AS vnd FROM (
@@ -417,9 +418,7 @@ def opportunity_score(spark, d):
 
 @query(f"""WITH {_OFFERS} SELECT brand, regexp_replace(lower(seller), '[^a-z0-9]+', '', 'g') AS importer_key, min(seller) AS importer, count(*) AS seen FROM offers GROUP BY ALL""")
 def importer_directory(spark, d):
-    return offers(spark, d).groupBy("brand", P.company_key(F.col("seller")).alias("importer_key")).agg(
-        F.min("seller").alias("importer"), F.count(F.lit(1)).alias("seen")
-    )
+    return Panels.importer_directory(offers(spark, d), "seller", P.company_key(F.col("seller")))
 
 
 @query("""WITH c AS (SELECT p_partkey, lpad(CAST(p_partkey * 7919 + 100000 AS VARCHAR), CASE p_partkey % 4 WHEN 0 THEN 14 WHEN 1 THEN 13 WHEN 2 THEN 12 ELSE 11 END, '4') AS code FROM part),
@@ -475,8 +474,8 @@ def headline_stats(spark, d):
 
 @query(f"""WITH {_OFFERS}, m AS (SELECT type, part, min(price) AS price FROM offers GROUP BY ALL) SELECT type, part, price = min(price) OVER (PARTITION BY type) AS best FROM m""")
 def compare_best_flag(spark, d):
-    cheapest = offers(spark, d).groupBy("type", "part").agg(F.min("price").alias("price"))
-    return cheapest.select("type", "part", (F.col("price") == F.min("price").over(Window.partitionBy("type"))).alias("best"))
+    lowest = offers(spark, d).groupBy("type", "part").agg(F.min("price").alias("price"))
+    return lowest.select("type", "part", Panels.cheapest(lowest, ["type"], "price").alias("best"))
 
 
 @query(f"""WITH {_EVIDENCE}, s AS (SELECT part, cls, least(100, CAST({_POINTS} AS BIGINT)) AS demand, reviews,
@@ -489,11 +488,7 @@ def brand_opportunities(spark, d):
     o = M.opportunity(c("cls"), c("reviews"), c("size"), c("size") / 10.0, c("markets"), c("retailers"), c("sold"), c("listings"), c("sold"), c("size") % 7, c("home_low"), c("price"))
     scored = evidence(spark, d).select("part", "cls", "reviews", o["score"].alias("score"))
     brands = table(spark, d, "part").select(c("p_partkey").alias("part"), c("p_brand").alias("brand"))
-    rolled = scored.join(brands, "part").groupBy("brand").agg(
-        F.max("score").alias("score"), F.sum("reviews").alias("reviews"), F.count(F.lit(1)).alias("items"),
-        F.array_join(F.array_sort(F.collect_set("cls")), ",").alias("classes"),
-    )
-    return rolled.where("classes <> 'nkcn'").orderBy(F.desc("score"), F.desc("reviews"), "brand").limit(12)
+    return Panels.brand_opportunities(scored.join(brands, "part"))
 
 
 @query("""WITH p AS (SELECT p_partkey, ltrim(lpad(substr(p_brand, 7) || lpad(CAST(p_size AS VARCHAR), 2, '0'), 13, '0'), '0') AS code,
@@ -514,9 +509,8 @@ def barcode_donor_sections(spark, d):
 SELECT norm, min(page_id) AS first_page, array_to_string(list_sort(list_distinct(list(CAST(engine AS VARCHAR)))), ',') AS engines FROM n GROUP BY norm""")
 def first_seen_engines(spark, d):
     rows = table(spark, d, "pages").select("page_id", U.norm_url(F.col("url")).alias("norm"), (F.col("page_id") % 3).cast("string").alias("engine"))
-    return rows.groupBy("norm").agg(
-        F.min("page_id").alias("first_page"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines")
-    )
+    found = Panels.first_seen(rows, "norm", "page_id", "engine")
+    return found.select("norm", F.col("first").alias("first_page"), F.array_join("engines", ",").alias("engines"))
 
 
 @query(f"""WITH {_SNAP}, h AS (SELECT key, event_id, t, row_number() OVER (PARTITION BY key, event_type ORDER BY t DESC, event_id DESC) AS again FROM snap)
@@ -549,20 +543,13 @@ def watch_metrics(spark, d):
 @query(f"""WITH {_SNAP}, b AS (SELECT key, arg_max(event_type, (t, event_id)) FILTER (WHERE t < 1705276800000) AS before, arg_max(event_type, (t, event_id)) AS after FROM snap GROUP BY key)
 SELECT key, before, after FROM b WHERE before IS NOT NULL AND before <> after""")
 def recheck_changes(spark, d):
-    order = F.struct("t", "event_id")
-    early = F.when(F.col("t") < 1705276800000, order)
-    both = snapshots(spark, d).groupBy("key").agg(F.max_by("event_type", early).alias("before"), F.max_by("event_type", order).alias("after"))
-    return both.where("before is not null and before <> after")
+    return Panels.changed_since(snapshots(spark, d), "key", "event_type", ["t", "event_id"], "t", 1705276800000)
 
 
 @query("""WITH n AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos FROM supplier)
 SELECT s_nationkey, CAST(floor(pos / 4) AS BIGINT) AS part, string_agg(CAST(s_suppkey AS VARCHAR), ' OR ' ORDER BY s_suppkey) AS sites FROM n GROUP BY ALL""")
 def site_chunks(spark, d):
-    pos = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
-    chunked = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.floor(pos / 4).alias("part"))
-    return chunked.groupBy("s_nationkey", "part").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), " OR ").alias("sites")
-    )
+    return Panels.site_groups(table(spark, d, "supplier"), "s_nationkey", "s_suppkey", 4)
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN 'A' WHEN s_suppkey % 3 = 0 THEN 'B' END AS chain,
