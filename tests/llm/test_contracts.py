@@ -193,3 +193,17 @@ def test_minhash_doc_id_with_several_texts(spark):
     ])
     kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in minhash_dedup.keep_one(spark, df).collect())
     assert kept == sorted([(3, a), (5, b), (7, ""), (9, c), (9, ""), (-1, a), (13, "")])
+
+
+def test_pipeline_on_empty_tables_and_nulls(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    columns = {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+    for name, rows in (("none", []), ("nulls", [(None, None, None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "", None, None, 0)])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert set(out.columns) == columns and out.count() <= len(rows)
