@@ -17,6 +17,8 @@ DAY_MS = 86_400_000
 SNAPSHOT_GAP_MS = 12 * 3_600_000
 PRICE_GAP_MS = 6 * 3_600_000
 PRICE_POINTS = 60
+#: Gaps that a segment of a key's rows is long, and segments that are told at a time.
+SEGMENT_GAPS, TOLD_ROWS = 14, 1024
 
 
 def weekly_rate(df: DataFrame, key: str, t: str, value: str) -> DataFrame:
@@ -107,15 +109,15 @@ def admitted(
 ) -> DataFrame:
     """Rows kept by their distance to, or difference from, the last kept row of their key.
 
-    The rule recurs on kept rows, which no window frame can say.  A key's rows are cut into segments of ``width`` (a gap) in
-    time, which are walked apart from each other, so a hot key is many tasks' work: a first pass tells what a segment
+    The rule recurs on kept rows, which no window frame can say.  A key's rows are cut into segments of ``width`` (else SEGMENT_GAPS
+    gaps) in time, which are walked apart from each other, so a hot key is many tasks' work: a first pass tells what a segment
     does to any state that comes in, a second one takes each key's state through its segments, a third walks each segment
     from the state that it starts with.  ``order`` starts with ``t``, a whole number.  Rows whose ``needed`` columns (else
     ``values``) are all null are dropped, and so are rows without a time; a null key is a key.
     """
     if order[0] != t:
         raise ValueError("rows are ordered by time first")
-    width = width or gap
+    width = width or SEGMENT_GAPS * gap
     names, kinds = df.columns, {f.name: f.dataType for f in df.schema.fields}
     rows = df.where(F.coalesce(*(F.col(c).cast("string") for c in needed or values)).isNotNull() & F.col(t).isNotNull())
     rows = rows.withColumn("__seg", F.floor(F.col(t) / width))
@@ -132,12 +134,17 @@ def admitted(
     n = range(len(values))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
         for (k, seg), held in groupby(_rows(batches, [key, "__seg", t, *values]), key=lambda r: (r[0], r[1])):
             s = Segment([(r[2], told(r[3:])) for r in held], gap)
             end_t, end = s.end or (None, [None] * len(values))
             row = {"__key": k, "__at": seg, "times": s.times, "leads": s.leads, "end_t": end_t}
-            row |= {f"first{i}": s.values[i] for i in n} | {f"end{i}": end[i] for i in n}
-            yield pa.RecordBatch.from_pylist([row], schema=arrow["told"])
+            out.append(row | {f"first{i}": s.values[i] for i in n} | {f"end{i}": end[i] for i in n})
+            if len(out) >= TOLD_ROWS:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow["told"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow["told"])
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, started = None, None, False

@@ -28,27 +28,23 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, at: Sequenc
     counts of the buckets below.  The two values around (n - 1) p then are maxima.  No task holds a key's values.
     Null keys are a group; null values don't count, so a key without values is missing.
     """
-    names = list(keys) or ["__all"]
-    rows = df if keys else df.withColumn("__all", F.lit(0))
+    # one key, which is never null and equal where its parts are, null or not
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     counts = (
-        rows.select(*names, F.col(value).cast("double").alias("__v"))
+        df.select(group.alias("__k"), F.col(value).cast("double").alias("__v"))
         .where("__v is not null")
-        .groupBy(*names, "__v")
+        .groupBy("__k", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
         .withColumn("__b", _bucket(F.col("__v")))
     )
-    within = Window.partitionBy(*names, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    below = Window.partitionBy(*names).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = counts.groupBy(*names, "__b").agg(F.sum("__c").alias("__s"))
+    within = Window.partitionBy("__k", "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("__k", "__b").agg(F.sum("__c").alias("__s"))
     bases = sums.select(
-        *(F.col(k).alias(f"__{k}") for k in names), F.col("__b").alias("__bb"), F.coalesce(F.sum("__s").over(below), F.lit(0)).alias("__base"),
-        F.sum("__s").over(Window.partitionBy(*names)).alias("__n"),
+        "__k", "__b", F.coalesce(F.sum("__s").over(below), F.lit(0)).alias("__base"), F.sum("__s").over(Window.partitionBy("__k")).alias("__n")
     )
-    same = F.col("__b") == F.col("__bb")
-    for k in names:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
     start = F.col("__base") + F.coalesce("__before", F.lit(0))
-    placed = counts.withColumn("__before", F.sum("__c").over(within)).join(bases, same).withColumn("__start", start)
+    placed = counts.withColumn("__before", F.sum("__c").over(within)).join(bases, ["__k", "__b"]).withColumn("__start", start)
 
     def held(rank: Column) -> Column:
         return F.max(F.when((F.col("__start") <= rank) & (rank < F.col("__start") + F.col("__c")), F.col("__v")))
@@ -57,9 +53,9 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, at: Sequenc
     for i, p in enumerate(at):
         place = (F.col("__n") - 1) * p
         each += [held(F.floor(place)).alias(f"__lo{i}"), held(F.ceil(place)).alias(f"__hi{i}")]
-    picked = placed.groupBy(*names).agg(F.max("__n").alias("n"), *each)
+    picked = placed.groupBy("__k").agg(F.max("__n").alias("n"), *each)
     lo, hi, place = (lambda i: F.col(f"__lo{i}")), (lambda i: F.col(f"__hi{i}")), (lambda p: (F.col("n") - 1) * p)
-    return picked.select(*keys, "n", *((lo(i) + (hi(i) - lo(i)) * (place(p) - F.floor(place(p)))).alias(f"q{i}") for i, p in enumerate(at)))
+    return picked.select(*(F.col("__k")[k].alias(k) for k in keys), "n", *((lo(i) + (hi(i) - lo(i)) * (place(p) - F.floor(place(p)))).alias(f"q{i}") for i, p in enumerate(at)))
 
 
 def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
