@@ -7,7 +7,7 @@ not this engine's matter.  All connectors are projections inside the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.price import parse_sold
 from ..functions.text import bound, clean, item_id, text_from_html, truncate
+from ..operators.rows import first_wins
 
 #: What every connector gives; what it does not know is null.
 FIELDS = {
@@ -277,28 +278,56 @@ def _records(path: str) -> Column:
     return F.flatten(F.filter(inner, lambda a: a.isNotNull()))
 
 
-def read(captures: DataFrame, source: str) -> DataFrame:
-    """Listing rows of one source's captures(source, market, payload), with their position."""
-    c = CONNECTORS[source]
-    rows = captures.where(F.col("source") == source).select("source", "market", c.json(F.col("payload")).alias("payload"))
+def _found(c: Connector) -> Column:
+    """A payload's records of one source in their order, as JSON texts."""
     records = F.concat(*(F.coalesce(_records(p), F.array().cast("array<string>")) for p in c.records))
-    if c.unique:
-        keyed = F.transform(records, lambda r: F.struct(c.unique(r).alias("key"), r.alias("record")))
-        records = bound(keyed, lambda k: F.transform(
-            F.filter(k, lambda x, i: x["key"].isNotNull() & (F.array_position(k["key"], x["key"]) == i + 1)), lambda x: x["record"]
-        ))
-    rows = rows.select("source", "market", F.posexplode(records).alias("pos", "record")).where(c.keep())
-    fields = [
-        (c.fields[name]() if name in c.fields else F.lit(None)).cast(kind).alias(name) for name, kind in FIELDS.items()
-    ]
-    out = rows.select("source", F.lit(c.kind).alias("kind"), "market", "pos", *fields)
+    if not c.unique:
+        return records
+    keyed = F.transform(records, lambda r: F.struct(c.unique(r).alias("key"), r.alias("record")))
+    return bound(keyed, lambda k: F.transform(
+        F.filter(k, lambda x, i: x["key"].isNotNull() & (F.array_position(k["key"], x["key"]) == i + 1)), lambda x: x["record"]
+    ))
+
+
+def _by_source(choices: Mapping[str, Column]) -> Column:
+    """The expression of the row's own source; the others are not evaluated."""
+    out = None
+    for source, value in choices.items():
+        case = F.col("source") == source
+        out = F.when(case, value) if out is None else out.when(case, value)
+    return out
+
+
+def _read(captures: DataFrame, connectors: Sequence[Connector], more: Sequence[str]) -> DataFrame:
+    known = captures.where(F.col("source").isin(*(c.id for c in connectors)))
+    rows = known.select("source", "market", *more, _by_source({c.id: c.json(F.col("payload")) for c in connectors}).alias("payload"))
+    rows = rows.select("source", "market", *more, F.posexplode(_by_source({c.id: _found(c) for c in connectors})).alias("pos", "record"))
+    rows = rows.where(_by_source({c.id: c.keep() for c in connectors}))
+    fields = []
+    for name, kind in FIELDS.items():
+        given = {c.id: c.fields[name]().cast(kind) for c in connectors if name in c.fields}
+        fields.append((_by_source(given) if given else F.lit(None).cast(kind)).alias(name))
+    kind = _by_source({c.id: F.lit(c.kind) for c in connectors}).alias("kind")
+    out = rows.select("source", kind, "market", *more, "pos", *fields)
     return out.withColumn("id", item_id(F.col("source"), F.coalesce("url", "title")))
 
 
+def read(captures: DataFrame, source: str) -> DataFrame:
+    """Listing rows of one source's captures(source, market, payload), with their position."""
+    return _read(captures, [CONNECTORS[source]], ())
+
+
 def read_all(captures: DataFrame) -> DataFrame:
-    """Rows of every known source in one union."""
-    parts = [read(captures, s) for s in CONNECTORS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows of every known source: one pass over the captures, each row read by its source's connector alone."""
+    return _read(captures, list(CONNECTORS.values()), ())
+
+
+def read_pages(captures: DataFrame) -> DataFrame:
+    """``read_all`` of captures(source, market, query, page, payload) whose searches came in several pages.
+
+    Of a search's rows with one url the first by page and position stays, so a product that two pages list is one row; rows
+    without a url all stay.
+    """
+    rows = _read(captures, list(CONNECTORS.values()), ("query", "page"))
+    known = first_wins(rows.where("url is not null"), ["source", "market", "query", "url"], ["page", "pos"])
+    return known.unionByName(rows.where("url is null"))

@@ -27,6 +27,23 @@ def test_connectors(spark):
     assert got["brave", 0]["price_text"] == "€3.20" and len(got["off", 0]["id"]) == 16
 
 
+def test_connectors_read_pages_of_a_search_once(spark):
+    item = lambda i, title: {"title": title, "link": f"https://n/{i}" if i else None, "imageUrl": "x"}
+    pages = [(1, 1, [item(2, "b, later"), item(0, "no link, later"), item(3, "c")]), (1, 0, [item(1, "a"), item(2, "b"), item(1, "a again"), item(0, "no link")]), (2, 0, [item(1, "other search")])]
+    rows = [("google", "us", q, n, json.dumps({"organic": found})) for q, n, found in pages] + [("google", "us", 3, 0, None), ("unknown", "us", 1, 0, "{}"), ("tiki", "vn", 1, 0, "no json")]
+    df = spark.createDataFrame(rows, "source string, market string, query int, page int, payload string")
+    got = sorted((r["query"], r["page"], r["pos"], r["title"]) for r in captures.read_pages(df).collect())
+    assert got == [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 0, 3, "no link"), (1, 1, 1, "no link, later"), (1, 1, 2, "c"), (2, 0, 0, "other search")]
+    assert captures.read_pages(df.limit(0)).collect() == []
+
+
+def test_all_sources_are_read_in_one_pass(spark, tmp_path):
+    spark.createDataFrame([("google", "us", "{}")], "source string, market string, payload string").write.parquet(str(tmp_path / "c"))
+    df = captures.read_all(spark.read.parquet(str(tmp_path / "c")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan and "In(source" in plan
+
+
 def test_pages(spark):
     ld = {"@graph": [{"@type": "Product", "name": "Porridge", "url": "/p/1", "brand": {"name": "Holle"}, "offers": {"price": "4.99", "priceCurrency": "EUR"}, "gtin13": "4006381333931"}, {"@type": "Thing", "name": "no"}]}
     html = f'<html><script type="application/ld+json">{json.dumps(ld)}</script><script type="application/ld+json">not json</script></html>'
