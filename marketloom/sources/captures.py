@@ -289,7 +289,7 @@ def _found(c: Connector) -> Column:
     ))
 
 
-def _by_source(choices: Mapping[str, Column]) -> Column:
+def by_source(choices: Mapping[str, Column]) -> Column:
     """The expression of the row's own source; the others are not evaluated."""
     out = None
     for source, value in choices.items():
@@ -300,14 +300,14 @@ def _by_source(choices: Mapping[str, Column]) -> Column:
 
 def _read(captures: DataFrame, connectors: Sequence[Connector], more: Sequence[str]) -> DataFrame:
     known = captures.where(F.col("source").isin(*(c.id for c in connectors)))
-    rows = known.select("source", "market", *more, _by_source({c.id: c.json(F.col("payload")) for c in connectors}).alias("payload"))
-    rows = rows.select("source", "market", *more, F.posexplode(_by_source({c.id: _found(c) for c in connectors})).alias("pos", "record"))
-    rows = rows.where(_by_source({c.id: c.keep() for c in connectors}))
+    rows = known.select("source", "market", *more, by_source({c.id: c.json(F.col("payload")) for c in connectors}).alias("payload"))
+    rows = rows.select("source", "market", *more, F.posexplode(by_source({c.id: _found(c) for c in connectors})).alias("pos", "record"))
+    rows = rows.where(by_source({c.id: c.keep() for c in connectors}))
     fields = []
     for name, kind in FIELDS.items():
         given = {c.id: c.fields[name]().cast(kind) for c in connectors if name in c.fields}
-        fields.append((_by_source(given) if given else F.lit(None).cast(kind)).alias(name))
-    kind = _by_source({c.id: F.lit(c.kind) for c in connectors}).alias("kind")
+        fields.append((by_source(given) if given else F.lit(None).cast(kind)).alias(name))
+    kind = by_source({c.id: F.lit(c.kind) for c in connectors}).alias("kind")
     out = rows.select("source", kind, "market", *more, "pos", *fields)
     return out.withColumn("id", item_id(F.col("source"), F.coalesce("url", "title")))
 

@@ -6,12 +6,13 @@ sections) each.  Everything is a projection inside the JVM; what a payload lacks
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, text_from_html, truncate
+from .captures import by_source
 
 FIELDS = {
     "price": "double", "currency": "string", "description": "string", "gtin": "string", "origin": "string", "brand": "string", "rating": "double",
@@ -140,18 +141,20 @@ READERS: dict[str, Callable[[], dict[str, Column]]] = {
 }
 
 
+def _read(captures: DataFrame, sources: Sequence[str]) -> DataFrame:
+    readers = {s: READERS[s]() for s in sources}
+    columns = []
+    for name, kind in FIELDS.items():
+        given = {s: fields[name].cast(kind) for s, fields in readers.items() if name in fields}
+        columns.append((by_source(given) if given else F.lit(None).cast(kind)).alias(name))
+    return captures.where(F.col("source").isin(*sources)).select("id", "source", *columns)
+
+
 def read(captures: DataFrame, source: str) -> DataFrame:
     """Detail rows of one source's captures; a payload that is no JSON gives a row of nulls."""
-    fields = READERS[source]()
-    return captures.where(F.col("source") == source).select(
-        "id", "source", *((fields[n] if n in fields else F.lit(None)).cast(t).alias(n) for n, t in FIELDS.items())
-    )
+    return _read(captures, [source])
 
 
 def read_all(captures: DataFrame) -> DataFrame:
-    """Detail rows of every source that has a reader."""
-    parts = [read(captures, s) for s in READERS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Detail rows of every source that has a reader, in one pass over the captures."""
+    return _read(captures, list(READERS))
