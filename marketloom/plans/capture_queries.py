@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..sources import captures
+from ..sources.site_search import site_rows as site_search_rows
 from .queries import query
 
 PER_PAGE = 20
@@ -173,3 +174,27 @@ def paged_captures(spark, d):
     payload = F.to_json(F.struct(F.col("records.record").alias("items")))
     asked = pages.select(F.lit("naver").alias("source"), F.lit("kr").alias("market"), F.col("o_custkey").alias("query"), "page", payload.alias("payload"))
     return captures.read_pages(asked).select("query", "url", "page", "pos", "price")
+
+
+_HOST_OF = r"regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '')"
+
+
+@query(rf"""WITH r AS (SELECT page_id, url, {_HOST_OF} AS host, CASE page_id % 2 WHEN 0 THEN 'us' ELSE 'de' END AS market, (page_id // 2) % 40 AS query,
+  CASE (page_id // 80) % 3 WHEN 0 THEN 'serper' WHEN 1 THEN 'ddg' ELSE 'bing' END AS provider, (page_id // 80) % 3 AS priority FROM pages),
+k AS (SELECT * FROM r WHERE CASE market WHEN 'us' THEN host = 'example.com' OR host LIKE '%.example.com' ELSE host = 'example.net' OR host LIKE '%.example.net' END),
+a AS (SELECT DISTINCT market, query, provider, priority, priority = 0 AND query % 10 = 0 AS keyed FROM r),
+c AS (SELECT market, query, min(priority) AS priority FROM a WHERE keyed OR EXISTS (SELECT 1 FROM k WHERE k.market = a.market AND k.query = a.query AND k.provider = a.provider) GROUP BY ALL)
+SELECT market, query, url, min(page_id) AS page_id, any_value(regexp_replace(host, '^(www|shop|shopping|groceries|tienda|supermercado|courses)\.', '')) AS seller,
+'$' || min(page_id) || '.50' AS price_text FROM k SEMI JOIN c USING (market, query, priority) GROUP BY market, query, url""")
+def site_search(spark, d):
+    """S43, J10, I6, O-U9: pages as the answers of three engines to forty searches in two markets, restricted to a site each."""
+    page = F.col("page_id")
+    turn = F.floor(page / 80) % 3
+    rows = table(spark, d, "pages").select(
+        F.when(page % 2 == 0, "us").otherwise("de").alias("market"), (F.floor(page / 2) % 40).alias("query"), turn.alias("priority"),
+        F.when(turn == 0, "serper").when(turn == 1, "ddg").otherwise("bing").alias("provider"), "url", page.alias("pos"), "page_id",
+        F.lit("Jar").alias("title"), F.concat(F.lit("for $"), page.cast("string"), F.lit(".50 each")).alias("snippet"), F.lit("").alias("price_text"),
+    )
+    answers = rows.select("market", "query", "provider", "priority", ((F.col("priority") == 0) & (F.col("query") % 10 == 0)).alias("keyed")).distinct()
+    sites = spark.createDataFrame([("us", "example.com"), ("de", "example.net")], "market string, site string")
+    return site_search_rows(answers, rows.drop("priority"), sites).select("market", "query", "url", "page_id", "seller", "price_text")

@@ -98,6 +98,7 @@ AMAZON = {
     "jp": ("https://www.amazon.co.jp", "JPY"), "au": ("https://www.amazon.com.au", "AUD"), "sg": ("https://www.amazon.sg", "SGD"), "ca": ("https://www.amazon.ca", "CAD"),
     "it": ("https://www.amazon.it", "EUR"), "es": ("https://www.amazon.es", "EUR"), "nl": ("https://www.amazon.nl", "EUR"),
 }
+BING_SHOP = {"us": "USD", "gb": "GBP", "au": "AUD", "de": "EUR", "fr": "EUR", "ca": "CAD"}
 ADVERTISED = re.compile(r"^(?:Sponsored Ad|Gesponserte Anzeige|Annonce sponsorisée|スポンサー広告)\s*[-–]\s*", re.I)
 SPONSORED = re.compile("Sponsored|Gesponsert|スポンサー|Sponsorisé")
 CURRENCY_IN_PRICE = r"\bVND\b|₫|\bUSD\b|US\$|\bGBP\b|£|\bEUR\b|€|\bCAD\b|CA\$|\bAUD\b|A\$|\bJPY\b|￥|¥"
@@ -312,6 +313,61 @@ def _leclerc(card: Card, base: str) -> dict:
     }
 
 
+# What says that a price is one for a unit, what says that an offer is an advertisement, and words of ratings.
+BASE_PRICE = re.compile(r"kg|l =|grundpreis|/100|1 kg|1 l", re.I)
+PROMOTED = re.compile("promoted|Được tài trợ|Sponsored|Gesponsert", re.I)
+RATED = ("sao", "star", "Stern")
+
+
+def _rewe(card: Card, base: str) -> dict | None:
+    classed = lambda *parts: (i for i in card.nodes() if any(p in card.page.attrs[i].get("class", "") for p in parts))
+    link = next((h for i in card.nodes("a") if (h := card.page.attrs[i].get("href", "")).startswith("/shop/p/")), None)
+    named = next((i for i in card.nodes() if card.page.tag[i] == "h4" or "product-title" in card.page.attrs[i].get("class", "")), None)
+    title, size = tidy(card.page.text(named)), tidy(card.page.text(next(classed("grammage"), None)))
+    if not link:
+        return None
+    price = None
+    for i in card.nodes():
+        held = card.page.attrs[i]
+        if "price" in held.get("class", "") or "Price" in held.get("class", "") or "price" in held.get("data-testid", ""):
+            told = tidy(card.page.text(i))
+            price = None if BASE_PRICE.search(told) else re.search(r"([0-9]+)[,.]([0-9]{2})\s*€", told) or re.search(r"€\s*([0-9]+)[,.]([0-9]{2})", told)
+            if price:
+                break
+    return {
+        "title": f"{title} {size}" if title and size and size not in title else title, "url": absolute(link, base), "image": card.attr("src", "img"),
+        "price_text": price and f"{price[1]}.{price[2]} €", "key": link,
+    }
+
+
+def _bing_offer(card: Card, base: str) -> dict | None:
+    page = card.page
+    named = next((i for i in card.nodes("span") if "title" in page.attrs[i]), None)
+    if named is None:
+        return None
+    # the card is the nearest element around the title that has a picture, not more than eight steps up
+    around = page.up[named]
+    for _ in range(8):
+        if around <= 0 or page.count(around, "img"):
+            break
+        around = page.up[around]
+    whole, above = Card(page, max(around, 0)), named
+    while above > 0 and page.tag[above] != "a":
+        above = page.up[above]
+    href = whole.attr("href", "a", cls="br-titlelink") or page.attrs[above].get("href")
+    first = lambda *classes: next((t for c in classes if (t := whole.text(cls=c))), "")
+    image = whole.inside(i for i in whole.nodes() if page.tag[i] == "img")
+    strike = next((i for i in whole.nodes() if page.tag[i] == "del" or {"br-strkPrice", "pd-strk"} & set(page.attrs[i].get("class", "").split())), None)
+    seller = next((i for i in whole.nodes() if {"br-sellerName", "br-sellerNameWithTb", "br-seller"} & set(page.attrs[i].get("class", "").split())), None)
+    rating = next((a for i in whole.nodes() if any(w in (a := page.attrs[i].get("aria-label", "")) for w in RATED)), "")
+    return {
+        "title": (title := tidy(page.attrs[named]["title"])), "key": title, "url": absolute(href, base) if href else None,
+        "image": image and (image.attr("src") or image.attr("data-src")), "price_text": first("pd-price", "br-price"), "original_text": tidy(page.text(strike)),
+        "seller": re.sub(r"\s*\+\s*[0-9]+.*$", "", tidy(page.text(seller))), "rating_text": found(r"([0-9]+(?:[.,][0-9])?)", rating),
+        "sponsored": bool(PROMOTED.search(whole.all_text())),
+    }
+
+
 def _has_class(name: str) -> Callable[[str, dict[str, str]], bool]:
     return lambda tag, attrs: name in attrs.get("class", "").split()
 
@@ -328,6 +384,8 @@ SHOPS = {
         Shop("chronodrive", {"fr": ("https://www.chronodrive.com", "EUR")}, lambda tag, a: tag == "article" and "product-card" in a.get("class", "").split(), _chronodrive, seller="Chronodrive"),
         Shop("leclerc", {"fr": ("https://www.e.leclerc", "EUR")}, lambda tag, a: tag == "article" and "data-product-card" in a, _leclerc, seller="E.Leclerc"),
         Shop("bestsellers", {m: v for m, v in AMAZON.items() if m != "sg"}, lambda tag, a: a.get("id") == "gridItemRoot", _best_seller, seller="Amazon"),
+        Shop("rewe", {"de": ("https://shop.rewe.de", "EUR")}, lambda tag, a: "product-tile" in a.get("class", ""), _rewe, "key", "REWE"),
+        Shop("bingshop", {m: ("https://www.bing.com", c) for m, c in BING_SHOP.items()}, _has_class("br-title"), _bing_offer, "key"),
         Shop("bing", {}, lambda tag, a: tag == "li" and "b_algo" in a.get("class", "").split(), _bing, kind="web"),
         Shop("ddg", {}, lambda tag, a: tag == "a" and "result-link" in a.get("class", "").split(), _ddg, kind="web"),
         State("tesco", {"gb": ("https://www.tesco.com", "GBP")}, _listed(
