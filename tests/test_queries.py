@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from marketloom.plans import match_queries, page_queries, research_queries  # noqa: F401
+from marketloom.plans import capture_queries, match_queries, page_queries, research_queries, text_queries  # noqa: F401
 from marketloom.plans.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
