@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..sources import captures
+from ..sources import captures, cards
 from ..sources.site_search import site_rows as site_search_rows
 from .queries import query
 
@@ -30,6 +30,8 @@ class Answer:
     record: str
     end: str
     row: dict[str, str]
+    #: State objects are found from the last one on.
+    backwards: bool = False
 
 
 _RATED = {"rating": "4.5", "reviews": "k + 1"}
@@ -107,10 +109,10 @@ def _filled(record: str) -> Column:
     return F.concat(*(values.get(piece, F.lit(piece)) for piece in re.split(r"(\$[KRNBPWCG])", record) if piece))
 
 
-def answers(part: DataFrame) -> DataFrame:
+def answers(part: DataFrame, of: tuple[Answer, ...] = ANSWERS) -> DataFrame:
     """captures(page_id, source, market, payload): each page of parts as one source's answer, the sources in turn."""
     page = F.floor(F.col("p_partkey") / PER_PAGE)
-    turn = page % len(ANSWERS)
+    turn = page % len(of)
 
     def by_turn(values: list[Column]) -> Column:
         out = F.when(F.col("turn") == 0, values[0])
@@ -119,34 +121,36 @@ def answers(part: DataFrame) -> DataFrame:
         return out
 
     rows = part.select("*", page.alias("page_id"), turn.alias("turn"))
-    rows = rows.select("page_id", "turn", "p_partkey", by_turn([_filled(a.record) for a in ANSWERS]).alias("record"))
+    rows = rows.select("page_id", "turn", "p_partkey", by_turn([_filled(a.record) for a in of]).alias("record"))
     pages = rows.groupBy("page_id", "turn").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "record"))).alias("records"))
-    payload = F.concat(by_turn([F.lit(a.start) for a in ANSWERS]), F.array_join("records.record", ","), by_turn([F.lit(a.end) for a in ANSWERS]))
-    names = {name: by_turn([F.lit(getattr(a, name)) for a in ANSWERS]).alias(name) for name in ("source", "market")}
+    payload = F.concat(by_turn([F.lit(a.start) for a in of]), F.array_join("records.record", ","), by_turn([F.lit(a.end) for a in of]))
+    names = {name: by_turn([F.lit(getattr(a, name)) for a in of]).alias(name) for name in ("source", "market")}
     return pages.select("page_id", names["source"], names["market"], payload.alias("payload"))
 
 
 _PARTS = f"""p AS (SELECT p_partkey AS k, p_partkey // {PER_PAGE} AS page_id, p_name || ' ' || p_partkey AS n, p_brand AS b, round(p_retailprice, 2) AS p,
 round(round(p_retailprice, 2) + 5, 2) AS w, printf('%.2f', round(p_retailprice, 2)) AS t, lpad(CAST(p_partkey + 1 AS VARCHAR), 13, '0') AS g,
-row_number() OVER (PARTITION BY p_partkey // {PER_PAGE} ORDER BY p_partkey) - 1 AS pos FROM part)"""
+row_number() OVER (PARTITION BY p_partkey // {PER_PAGE} ORDER BY p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY p_partkey // {PER_PAGE}) AS size FROM part)"""
 
-_KINDS = {"price": "DOUBLE", "original_price": "DOUBLE", "rating": "DOUBLE", "reviews": "BIGINT", "sold": "BIGINT"}
+_KINDS = {"price": "DOUBLE", "original_price": "DOUBLE", "rating": "DOUBLE", "reviews": "BIGINT", "sold": "BIGINT", "rank": "INT"}
 
 
-def _rows_sql() -> str:
+def _rows_sql(of: tuple[Answer, ...] = ANSWERS, shown: dict[str, str] = SHOWN) -> str:
     """SQL of the rows of all sources: one CASE a column, by whose turn the page is."""
 
     def column(name: str) -> str:
-        cases = " ".join(f"WHEN {i} THEN {a.row[name]}" for i, a in enumerate(ANSWERS) if name in a.row)
-        return f"CAST(CASE page_id % {len(ANSWERS)} {cases} END AS {_KINDS.get(name, 'VARCHAR')}) AS {name}"
+        cases = " ".join(f"WHEN {i} THEN {a.row[name]}" for i, a in enumerate(of) if name in a.row)
+        return f"CAST(CASE page_id % {len(of)} {cases} END AS {_KINDS.get(name, 'VARCHAR')}) AS {name}"
 
-    names = " ".join(f"WHEN {i} THEN '{a.source}'" for i, a in enumerate(ANSWERS))
-    return f"SELECT page_id, CASE page_id % {len(ANSWERS)} {names} END AS source, CAST(pos AS INT) AS pos, {', '.join(map(column, SHOWN))} FROM p"
+    names = " ".join(f"WHEN {i} THEN '{a.source}'" for i, a in enumerate(of))
+    turned = ", ".join(["-1", *(str(i) for i, a in enumerate(of) if a.backwards)])
+    place = f"CAST(CASE WHEN page_id % {len(of)} IN ({turned}) THEN size - 1 - pos ELSE pos END AS INT)"
+    return f"SELECT page_id, CASE page_id % {len(of)} {names} END AS source, {place} AS pos, {', '.join(map(column, shown))} FROM p"
 
 
-def _shown(rows: DataFrame) -> list[Column]:
+def _shown(shown: dict[str, str] = SHOWN) -> list[Column]:
     money = ("price", "originalPrice")
-    return [(F.round(reader, 2) if reader in money else F.col(reader)).alias(name) for name, reader in SHOWN.items()]
+    return [(F.round(reader, 2) if reader in money else F.col(reader)).alias(name) for name, reader in shown.items()]
 
 
 @query(f"WITH {_PARTS} {_rows_sql()}")
@@ -154,7 +158,7 @@ def captured_rows(spark, d):
     """The parts, read back from the JSON answers of twenty-one sources in one pass."""
     asked = answers(table(spark, d, "part")).select("source", "market", "payload", F.col("page_id").alias("query"), F.lit(0).alias("page"))
     rows = captures.read_pages(asked)
-    return rows.select(F.col("query").alias("page_id"), "source", "pos", *_shown(rows))
+    return rows.select(F.col("query").alias("page_id"), "source", "pos", *_shown())
 
 
 @query(f"""WITH q AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderkey % 3 AS u, o_totalprice FROM orders),
@@ -198,3 +202,57 @@ def site_search(spark, d):
     answers = rows.select("market", "query", "provider", "priority", ((F.col("priority") == 0) & (F.col("query") % 10 == 0)).alias("keyed")).distinct()
     sites = spark.createDataFrame([("us", "example.com"), ("de", "example.net")], "market string, site string")
     return site_search_rows(answers, rows.drop("priority"), sites).select("market", "query", "url", "page_id", "seller", "price_text")
+
+
+_DASHED_NAME = "trim(regexp_replace(lower(n), '[^a-z0-9]+', '-', 'g'), '-')"
+_STATE = '<script type="application/json">{"pad":"' + "x" * 200 + '","l":['
+
+
+def _page(source: str, market: str, record: str, *, start: str = "<html><body>", end: str = "</body></html>", **row: str) -> Answer:
+    return Answer(source, market, start, record, end, {"title": "n", **row}, backwards=start == _STATE)
+
+
+#: The same for result pages in markup and in state objects.
+PAGES = (
+    _page("amazon", "de", '<div data-component-type="s-search-result" data-asin="B$K"><h2 aria-label="Gesponserte Anzeige – $N"><span>x</span></h2><span class="a-price a-text-price"><span class="a-offscreen">€$W</span></span><span class="a-price"><span class="a-offscreen">€$P</span></span><span class="a-icon-alt">4,5 von 5 Sternen</span><a aria-label="all ratings">$R</a><span>2K+ gekauft</span></div>',
+          url="'https://www.amazon.de/dp/B' || k", price_text="'€' || t", original_price="w", currency="'EUR'", seller="'Amazon'", sold="2000", **_RATED),
+    _page("aldiuk", "gb", '<div class="product-tile" title="Alt"><a href="/product/$K"></a><p class="product-tile__brandname">$B</p><div class="product-tile__name">$N</div><b class="product-tile__unit-of-measurement">5 x 20g</b><i class="base-price__regular">£$P</i><i class="base-price__was-price">£$W</i><i class="product-tile__comparison-price">£1/KG</i></div>',
+          title="b || ' ' || n || ' 5 x 20g'", brand="b", url="'https://www.aldi.co.uk/product/' || k", price_text="'£' || t", original_price="w", currency="'GBP'", seller="'Aldi UK'", snippet="'£1/KG'"),
+    _page("kroger", "us", '<div class="ProductCard" aria-label="$N"><a href="/p/x/$G?y=1">g</a><data data-testid="product-item-unit-price">now $$P was $$W</data><i data-testid="product-item-sizing">1 oz</i></div>',
+          url="'https://www.kroger.com/p/x/' || g", gtin="g", price_text="'$' || t", currency="'USD'", seller="'Kroger'", snippet="'1 oz'"),
+    _page("rakuten", "jp", '<div class="x searchresultitem" data-card-type="item" data-track-price="$P"><a href="https://item.rakuten.co.jp/s/$K/?l=2"><img alt="$N" src="r.jpg"></a><div class="review-1">4.5 ($R件)</div><div class="merchant-x"><a>s</a></div></div>',
+          url="'https://item.rakuten.co.jp/s/' || k || '/'", price_text="t", currency="'JPY'", seller="'Rakuten · s'", **_RATED),
+    _page("shopee", "vn", '<a href="/x-i.1.$K?sp=1"><img alt="$N" src="https://cf.shopee.vn/a"><div><span>₫</span><span>$P</span></div><div>4.5</div><div>Đã bán $R</div></a><a href="/again-i.1.$K">₫ 1.000</a>',
+          url="'https://shopee.vn/x-i.1.' || k", price_text="t || '₫'", currency="'VND'", seller="'Shopee'", rating="4.5", sold="k + 1"),
+    _page("auchan", "fr", '<article itemtype="http://schema.org/Product"><a class="productThumbnailLink" href="/x/pr-$K"><picture><source alt="$N"></picture></a><meta itemprop="ratingValue" content="4.5"><meta itemprop="reviewCount" content="$R"><div class="price">2,50 €/kg</div><div class="product-price">$P €</div></article>',
+          url="'https://www.auchan.fr/x/pr-' || k", price_text="t || ' €'", currency="'EUR'", seller="'Auchan'", **_RATED),
+    _page("chronodrive", "fr", '<article class="product-card" aria-label="$N"><a class="card-content-link" href="/p/$K">x</a><span class="product-actions-value">$P €</span></article>',
+          url="'https://www.chronodrive.com/p/' || k", price_text="t || ' €'", currency="'EUR'", seller="'Chronodrive'"),
+    _page("leclerc", "fr", '<article data-product-card data-ean="$G"><a href="/fp/$K" title="$N">x</a><span class="p-small">$B</span><div currency="EUR">$P €</div></article>',
+          url="'https://www.e.leclerc/fp/' || k", price_text="t || ' €'", currency="'EUR'", brand="b", gtin="g", seller="'E.Leclerc'"),
+    _page("rewe", "de", '<div class="product-tile"><a href="/shop/p/$K">x</a><h4>$N</h4><b class="grammage">1 St.</b><div class="base-price">1 kg = 8,00 €</div><div class="priceBox">$P €</div><div class="product-tile__more"><a href="/shop/p/$K">x</a><h4>Again</h4></div></div>',
+          title="n || ' 1 St.'", url="'https://shop.rewe.de/shop/p/' || k", price_text="t || ' €'", currency="'EUR'", seller="'REWE'"),
+    _page("bingshop", "us", '<div class="offer"><a class="br-titlelink" href="/ck/$K"><div><div class="br-title"><span title="$N">x</span></div></div></a><img src="o.jpg"><div class="pd-price">$$P</div><del>$$W</del><span class="br-sellerName">s + 3 more</span><i aria-label="4,5 star rating"></i></div>',
+          url="'https://www.bing.com/ck/' || k", price_text="'$' || t", original_price="w", currency="'USD'", seller="'s'", rating="4.5"),
+    _page("bestsellers", "it", '<div id="gridItemRoot"><span class="zg-bdg-text">#$R</span><div data-asin="B$K"><img alt="$N" src="b.jpg"></div><span class="x_p13n-sc-price_y">€$P</span><div class="a-icon-row"><span class="a-icon-alt">4,5 su 5</span><span class="a-size-small">$R</span></div></div>',
+          url="'https://www.amazon.it/dp/B' || k", price_text="'€' || t", currency="'EUR'", seller="'Amazon'", rank="k + 1", **_RATED),
+    _page("bing", "vn", '<li class="b_algo"><h2><a href="https://x.example/$K">$N</a></h2><div class="b_caption"><p>12 thg 3, 2024 · now €$P only</p></div></li>',
+          start="<ol>", end="</ol>", url="'https://x.example/' || k", snippet="'now €' || t || ' only'", price_text="'€' || t"),
+    _page("ddg", "us", '<tr><td><a class="result-link" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.example%2F$K&rut=1">$N</a></td></tr><tr><td class="result-snippet">of $B</td></tr>',
+          start="<table>", end="</table>", url="'https://x.example/' || k", snippet="'of ' || b"),
+    _page("tesco", "gb", '{"title":"$N","id":$R,"defaultImageUrl":"https://t/i.jpg","price":{"actual":$P},"href":"/x/y$K"}', start=_STATE, end="]}</script>",
+          url="'https://www.tesco.com/groceries/en-GB/products/' || (k + 1)", price_text="CAST(p AS VARCHAR)", currency="'GBP'", seller="'Tesco'"),
+    _page("waitrose", "gb", '{"name":"$N","id":"$R-x","thumbnail":"https://t/i.jpg","price":{"actual":$P},"href":"/x/y$K"}', start=_STATE, end="]}</script>",
+          url=f"'https://www.waitrose.com/ecom/products/' || {_DASHED_NAME} || '/' || (k + 1) || '-x'", price_text="CAST(p AS VARCHAR)", currency="'GBP'", seller="'Waitrose'"),
+    _page("morrisons", "gb", '{"name":"$N","retailerProductId":"$R","image":{"src":"https://t/i.jpg"},"price":{"actual":$P},"href":"/x/y$K"}', start=_STATE, end="]}</script>",
+          url=f"'https://groceries.morrisons.com/products/' || {_DASHED_NAME} || '/' || (k + 1)", price_text="CAST(p AS VARCHAR)", currency="'GBP'", seller="'Morrisons'"),
+)
+_PAGE_SHOWN = {name: reader for name, reader in SHOWN.items() if name != "price"} | {"rank": "rank"}
+
+
+@query(f"WITH {_PARTS} SELECT * EXCLUDE (page_id) FROM ({_rows_sql(PAGES, _PAGE_SHOWN)})")
+def result_page_rows(spark, d):
+    """The parts, read back from the result pages of sixteen sources."""
+    asked = answers(table(spark, d, "part"), PAGES)
+    rows = cards.read(asked)
+    return rows.select("source", "pos", *_shown(_PAGE_SHOWN))
