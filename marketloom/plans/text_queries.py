@@ -9,7 +9,7 @@ from .. import lexicon as L
 from ..functions import brands, phrases
 from ..functions import price as P
 from ..functions import text as T
-from ..session import table
+from ..session import spread, table
 from .queries import query
 
 #: A title's first piece, and the brand that it names; p_brand is no known one.
@@ -90,12 +90,15 @@ def _in_order(names: list[str], goods: int, tails: int) -> str:
 def title_fields(spark, d):
     """O-P8 to O-P12, O-T4: age, type, claims, allergens, concepts, product form and known brand of each title."""
     t = F.col("title")
-    return titled(table(spark, d, "part")).select(
-        F.col("p_partkey").alias("part"), brands.guess_brand(t).alias("brand"), T.first_label(t, L.TYPES).alias("type"),
+    rows = titled(table(spark, d, "part")).select(F.col("p_partkey").alias("part"), "title")
+    # a title is read once, however many parts have it
+    told = spread(rows.select("title").distinct()).select(
+        "title", brands.guess_brand(t).alias("brand"), T.first_label(t, L.TYPES).alias("type"),
         F.array_join(phrases.concepts(t), "|").alias("concepts"), F.array_join(T.labels_of(t, L.CLAIMS), "|").alias("claims"),
         F.array_join(T.labels_of(t, L.ALLERGENS), "|").alias("allergens"), F.get(phrases.forms(t), F.lit(0)).alias("form"),
         P.parse_age_months(t).cast("int").alias("age_months"),
     )
+    return rows.join(told, "title").drop("title")
 
 
 @query(f"""WITH {_TITLED} SELECT p_partkey AS part, floor(least(CASE WHEN good IN (0, 3) THEN 1.0::DOUBLE + 0.25 WHEN p_size % 2 = 0 THEN 0.4::DOUBLE / 3 ELSE 0 END
