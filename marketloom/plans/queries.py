@@ -22,7 +22,7 @@ from ..operators import listings as LM
 from ..operators import matching as M
 from ..operators import panels as Panels
 from ..operators import rows as R
-from ..session import table
+from ..session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -567,7 +567,7 @@ def importer_lookup(spark, d):
 
 def _captured(spark: SparkSession, d: str) -> DataFrame:
     """Raw connector rows: every part as a shop's offer with its price as a text in euros and its pack in the title."""
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"))
     euros = F.floor("p_retailprice").cast("long")
     return part.select(
         F.col("p_partkey").alias("part"), F.lit("shop").alias("source"),
