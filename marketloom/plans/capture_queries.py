@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import dealt, table
 from ..sources import captures, cards
 from ..sources.site_search import site_rows as site_search_rows
 from .queries import query
@@ -170,14 +170,16 @@ def paged_captures(spark, d):
     A customer is a search, the customer's orders its rows, four a page.
     """
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    orders = dealt(orders, orders.count(), "o_custkey")
     link = F.concat(F.lit("https://n.example/"), F.col("o_custkey").cast("string"), F.lit("/"), (F.col("o_orderkey") % 3).cast("string"))
     record = F.struct(F.lit("x").alias("title"), link.alias("link"), F.col("o_totalprice").alias("lprice"))
+    # records are made after the sort
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    found = orders.select("o_custkey", place.alias("i"), record.alias("record"))
+    found = orders.withColumn("i", place).select("o_custkey", "i", record.alias("record"))
     pages = found.groupBy("o_custkey", F.floor(F.col("i") / 4).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("i", "record"))).alias("records"))
     payload = F.to_json(F.struct(F.col("records.record").alias("items")))
     asked = pages.select(F.lit("naver").alias("source"), F.lit("kr").alias("market"), F.col("o_custkey").alias("query"), "page", payload.alias("payload"))
-    return captures.read_pages(asked).select("query", "url", "page", "pos", "price")
+    return captures.read_pages(asked, ("price",)).select("query", "url", "page", "pos", "price")
 
 
 _HOST_OF = r"regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '')"

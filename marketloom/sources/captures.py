@@ -298,13 +298,15 @@ def by_source(choices: Mapping[str, Column]) -> Column:
     return out
 
 
-def _read(captures: DataFrame, connectors: Sequence[Connector], more: Sequence[str]) -> DataFrame:
+def _read(captures: DataFrame, connectors: Sequence[Connector], more: Sequence[str], only: Sequence[str] = tuple(FIELDS)) -> DataFrame:
     known = captures.where(F.col("source").isin(*(c.id for c in connectors)))
     rows = known.select("source", "market", *more, by_source({c.id: c.json(F.col("payload")) for c in connectors}).alias("payload"))
     rows = rows.select("source", "market", *more, F.posexplode(by_source({c.id: _found(c) for c in connectors})).alias("pos", "record"))
     rows = rows.where(by_source({c.id: c.keep() for c in connectors}))
     fields = []
     for name, kind in FIELDS.items():
+        if name not in only:
+            continue
         given = {c.id: c.fields[name]().cast(kind) for c in connectors if name in c.fields}
         fields.append((by_source(given) if given else F.lit(None).cast(kind)).alias(name))
     kind = by_source({c.id: F.lit(c.kind) for c in connectors}).alias("kind")
@@ -322,12 +324,13 @@ def read_all(captures: DataFrame) -> DataFrame:
     return _read(captures, list(CONNECTORS.values()), ())
 
 
-def read_pages(captures: DataFrame) -> DataFrame:
+def read_pages(captures: DataFrame, only: Sequence[str] = tuple(FIELDS)) -> DataFrame:
     """``read_all`` of captures(source, market, query, page, payload) whose searches came in several pages.
 
     Of a search's rows with one url the first by page and position stays, so a product that two pages list is one row; rows
-    without a url all stay.
+    without a url all stay.  ``only`` names the fields that are wanted beside url and title: a row is sorted with all that it holds.
     """
-    rows = _read(captures, list(CONNECTORS.values()), ("query", "page"))
-    known = first_wins(rows.where("url is not null"), ["source", "market", "query", "url"], ["page", "pos"])
-    return known.unionByName(rows.where("url is null"))
+    rows = _read(captures, list(CONNECTORS.values()), ("query", "page"), ("url", "title", *only))
+    # one pass: a row without a url is a key of its own
+    own = F.when(F.col("url").isNull(), F.monotonically_increasing_id())
+    return first_wins(rows.withColumn("__own", own), ["source", "market", "query", "url", "__own"], ["page", "pos"]).drop("__own")
