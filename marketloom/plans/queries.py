@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as L
@@ -22,7 +22,7 @@ from ..operators import listings as LM
 from ..operators import matching as M
 from ..operators import panels as Panels
 from ..operators import rows as R
-from ..session import spread, table
+from ..session import dealt, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -379,15 +379,24 @@ cl AS (SELECT *, CASE WHEN listings > 1 THEN CASE WHEN chains >= 2 AND size % 2
 
 
 def evidence(spark, d):
+    """What line items tell of each part; its rows are dealt by part once, and suppliers and markets are told apart as sets of a part's own."""
     line = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice")
     shops = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    rows = table(spark, d, "part").select("p_partkey", "p_size").join(line.join(shops, "l_suppkey", "left"), "p_partkey", "left")
     home, unit = F.col("s_nationkey") == 8, F.col("l_extendedprice") / F.col("l_quantity")
+    told = line.join(shops, "l_suppkey", "left").select(
+        "p_partkey", "l_orderkey", "l_suppkey", "s_nationkey", F.when(home, F.col("l_quantity")).alias("sold"),
+        F.when(home, unit).alias("home_low"), F.when(F.col("s_nationkey") != 8, unit).alias("price"),
+    )
+    rows = table(spark, d, "part").select("p_partkey", "p_size").join(dealt(told, line.count(), "p_partkey"), "p_partkey", "left")
+    chain = F.when(F.col("s_nationkey").isin(8, 12), F.col("l_suppkey"))
+
+    def distinct(value) -> Column:
+        return F.size(F.collect_set(value)).cast("long")
+
     seen = rows.groupBy(F.col("p_partkey").alias("part")).agg(
-        F.count("l_orderkey").alias("reviews"), F.count_distinct("s_nationkey").alias("markets"), F.count_distinct("l_suppkey").alias("retailers"),
-        F.coalesce(F.sum(F.when(home, F.col("l_quantity"))), F.lit(0.0)).alias("sold"), F.count_if(home).alias("listings"),
-        F.count_distinct(F.when(F.col("s_nationkey").isin(8, 12), F.col("l_suppkey"))).alias("chains"),
-        F.min(F.when(home, unit)).alias("home_low"), F.min(F.when(F.col("s_nationkey") != 8, unit)).alias("price"), F.first("p_size").alias("size"),
+        F.count("l_orderkey").alias("reviews"), distinct("s_nationkey").alias("markets"), distinct("l_suppkey").alias("retailers"),
+        F.coalesce(F.sum("sold"), F.lit(0.0)).alias("sold"), F.count_if(home).alias("listings"), distinct(chain).alias("chains"),
+        F.min("home_low").alias("home_low"), F.min("price").alias("price"), F.first("p_size").alias("size"),
     )
     strong = F.when(F.col("listings") > 1, F.col("listings")).otherwise(0)
     cls = M.import_class(strong, F.col("listings"), F.col("chains"), F.col("size") % 2 == 0, F.col("size") % 5)
