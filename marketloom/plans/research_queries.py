@@ -10,7 +10,7 @@ from .. import lexicon as L
 from ..operators import candidates as C
 from ..operators import exports as E
 from ..operators import tracking as W
-from ..session import table
+from ..session import dealt, table
 from ..sources import lookups
 from .queries import _OFFERS, _SNAP, offers, query, snapshots
 
@@ -92,6 +92,7 @@ def keyword_seeds(spark, d):
 def suggestion_union(spark, d):
     """Captured answers of two services, one for each folded text, in order."""
     c = table(spark, d, "customer").select(F.col("c_name").alias("query"), F.col("c_mktsegment").alias("s"))
+    c = dealt(c, 5 * c.count(), "query")  # a query has five texts
     s = F.col("s")
     first = F.concat(F.lit("["), F.to_json(F.array("query")), F.lit(","), F.to_json(F.array(s, F.lower(s), F.concat(s, F.lit(" x")))), F.lit("]"))
     first = F.replace(first, F.concat(F.lit("["), F.to_json(F.array("query"))), F.concat(F.lit('["'), F.col("query"), F.lit('"')))
