@@ -207,3 +207,38 @@ def test_pipeline_on_empty_tables_and_nulls(spark, tmp_path):
         labels.write.parquet(f"{folder}/labels.parquet")
         out = corpus_pipeline.run(spark, folder)
         assert set(out.columns) == columns and out.count() <= len(rows)
+
+
+def test_bpe_dictionary_rows(spark, monkeypatch):
+    """The dictionary is rows, no map in one row; it holds the frequent words with their ids and no others."""
+    monkeypatch.setattr(byte_bpe, "DICTIONARY", 2)
+    words = spark.createDataFrame([(w,) for w in ["x"] * 2 + [" thing"] * 300 + ["日本"] * 40], "word string")
+    rows = byte_bpe._frequent(Scratch(spark, "rows"), words, byte_bpe.Coder(PATH)).collect()
+    assert sorted(map(tuple, rows)) == sorted((w, ",".join(map(str, encoding().encode_ordinary(w)))) for w in [" thing", "日本"])
+
+
+def test_bpe_folds_only_unknown_matches(spark):
+    """Known matches are taken from the dictionary wherever they stand; the others come out in their order."""
+    known = ["a", " a", " b", "b", " ", "  ", "\n", ",", "'s", " 12"]
+    ids = lambda w: ",".join(map(str, encoding().encode_ordinary(w)))
+    dictionary = spark.createDataFrame([(w, ids(w)) for w in known], "word string, ids string").coalesce(1)
+    long = " " + "x" * 300
+    texts = ["", " ", "a b", " a b", "zz", " zz a", "a zz,b  b\n b's 12", "  zz  a\n", f"a{long} b", f"{long}zz1", "a yy zz b yy", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, runs, unknown, between in byte_bpe._split(docs, dictionary, PATH).collect():
+        text = texts[i] or ""
+        matches = byte_bpe._MATCH.findall(text)
+        assert unknown == [m for m in matches if m not in known and len(m) <= byte_bpe.LONG]
+        assert len(runs) == len(between) == len(unknown) + 1
+        assert "".join(b + u for b, u in zip(between, [*unknown, ""])) == text
+        both = [x for r, u in zip(runs, [*map(ids, unknown), None]) for x in (r, u) if x]
+        assert ",".join(both) == ids(text)
+
+
+def test_bpe_bytes_that_are_no_text(spark):
+    """Malformed bytes are read as replacement signs, as the pattern's own functions read them."""
+    rows = spark.sql("select 1L doc_id, cast(unhex('61FF2062') as string) text union all select 2L, 'a b'")
+    got = {r[0]: tuple(r)[1:] for r in byte_bpe.encode_decode(spark, rows).collect()}
+    for i, text in ((1, "a\ufffd b"), (2, "a b")):
+        ids = encoding().encode_ordinary(text)
+        assert got[i] == (len(ids), digest(",".join(map(str, ids)).encode()), digest(text.encode()))
