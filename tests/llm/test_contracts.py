@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marketloom.llm import ann, byte_bpe, minhash_dedup, packing, pii, token_rollup
@@ -242,3 +243,41 @@ def test_bpe_bytes_that_are_no_text(spark):
     for i, text in ((1, "a\ufffd b"), (2, "a b")):
         ids = encoding().encode_ordinary(text)
         assert got[i] == (len(ids), digest(",".join(map(str, ids)).encode()), digest(text.encode()))
+
+
+def test_bpe_fold_of_bytes(spark):
+    """The fold of every two bytes and of random matches, and how often a step looks ranks up and copies its state."""
+    coder, table, rng = byte_bpe.Coder(PATH), ranks(PATH), random.Random(6)
+    words = [bytes([a, b]) for a in range(256) for b in range(256)] + [bytes([a]) for a in range(256)]
+    words += ["".join(rng.choice("aabcdeéthing日-=/") for _ in range(rng.randrange(1, 30))).encode() for _ in range(2000)]
+    df = spark.createDataFrame([(w,) for w in words], "word binary")
+    folded = df.select("word", coder.bind(lambda code: code._fold(F.col("word"))).alias("ids"))
+    assert all(r.ids == byte_bpe.merged(bytes(r.word), table) for r in folded.collect())
+    plan = folded._jdf.queryExecution().analyzed().toString()
+    assert plan.count("slice(") == plan.count("concat(") == 0 and plan.count("array_remove(") == 1
+
+
+def test_bpe_letters_and_signs_need_no_pattern():
+    """Parts of letters and then signs are told apart as the pattern does it."""
+    for c in map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)):
+        assert not c.isalpha() or byte_bpe._MATCH.findall(c + "a" + c) == [c + "a" + c], c
+    rng = random.Random(8)
+    for before in ("", " "):
+        for _ in range(20_000):
+            part = "".join(rng.choice("abZé日'',.*s\n\t1٣-_\U0001f600́") for _ in range(rng.randrange(1, 9)))
+            assert byte_bpe.matches(part, before) == byte_bpe._MATCH.findall(before + part)
+
+
+def test_bpe_dictionary_is_folded_once(spark, monkeypatch):
+    """No plan of the dictionary holds the fold twice, as a filter over it would."""
+    plans, write = [], Scratch.write
+
+    def kept(self, name, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, name, df)
+
+    monkeypatch.setattr(Scratch, "write", kept)
+    words = spark.createDataFrame([(w,) for w in ["x"] * 2 + [" thing"] * 3], "word string")
+    rows = byte_bpe._frequent(Scratch(spark, "once"), words, byte_bpe.Coder(PATH)).collect()
+    assert sorted(map(tuple, rows)) == sorted((w, ",".join(map(str, encoding().encode_ordinary(w)))) for w in ["x", " thing"])
+    assert max(p.count("aggregate(lambda") + p.count("aggregate(sequence") for p in plans) == 1
